@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from ravelin.llm.packing import op8_pack_documents
 from ravelin.llm.sharding import op1_shard_documents
+from ravelin.llm.simple8b import op7_encode_ids
 
-QUERIES = {f.__name__: f for f in (op1_shard_documents,)}
+QUERIES = {f.__name__: f for f in (op1_shard_documents, op7_encode_ids, op8_pack_documents)}
 
 ORACLES: dict[str, str] = {}
