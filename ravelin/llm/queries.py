@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from ravelin.llm.ann import op5_nearest_vectors
+from ravelin.llm.embeddings import op2_embedding_neighbours
 from ravelin.llm.packing import op8_pack_documents
 from ravelin.llm.sharding import op1_shard_documents
 from ravelin.llm.simhash import op6_simhash_groups
 from ravelin.llm.simple8b import op7_encode_ids
 
-QUERIES = {f.__name__: f for f in (op1_shard_documents, op6_simhash_groups, op7_encode_ids, op8_pack_documents)}
+QUERIES = {f.__name__: f for f in (op1_shard_documents, op2_embedding_neighbours, op5_nearest_vectors, op6_simhash_groups, op7_encode_ids, op8_pack_documents)}
 
 ORACLES: dict[str, str] = {}
