@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ravelin.llm.ann import op5_nearest_vectors
+from ravelin.llm.ctw import op9_ctw_scores
 from ravelin.llm.embeddings import op2_embedding_neighbours
 from ravelin.llm.mixing import op4_mix_sources
 from ravelin.llm.packing import op8_pack_documents
@@ -12,7 +13,7 @@ from ravelin.llm.simhash import op6_simhash_groups
 from ravelin.llm.simple8b import op7_encode_ids
 from ravelin.llm.toxicity import op10_toxicity
 
-_ALL = (op1_shard_documents, op2_embedding_neighbours, op3_quality_scores, op4_mix_sources, op5_nearest_vectors, op6_simhash_groups, op7_encode_ids, op8_pack_documents, op10_toxicity)
+_ALL = (op1_shard_documents, op2_embedding_neighbours, op3_quality_scores, op4_mix_sources, op5_nearest_vectors, op6_simhash_groups, op7_encode_ids, op8_pack_documents, op9_ctw_scores, op10_toxicity)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
