@@ -95,6 +95,25 @@ def _scorer(good: bytes, bad: bytes, weights: np.ndarray):
     return run
 
 
+def _filter(good: bytes, bad: bytes, weights: np.ndarray, at: int):
+    def run(batches):
+        import pyarrow as pa
+
+        c = Compressors(good, bad)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = [float(sigmoid(np.array(c.features(t or "")) @ weights[:-1] + weights[-1])) >= THRESHOLD for t in texts]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose text quality_scores() would predict as 1."""
+    model = fit(labelled(docs, labels, "quality", 5, SAMPLE, SAMPLE_CHARS))
+    return docs.mapInArrow(_filter(*model, docs.columns.index("text")), docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on).
 

@@ -107,6 +107,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The row of docs with the smallest doc_id of each group; of rows with equal ids one. Rows without an id stay."""
+    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_rv_kept"))
+    named = docs.join(kept, F.col("doc_id") == F.col("_rv_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -110,29 +110,53 @@ def fit(rows: list[tuple[str, int]]) -> Chain:
     return chain
 
 
+def probabilities(chain: Chain, texts: list[str]) -> np.ndarray:
+    """A row for each text, from its distinct words that have a feature."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    place = chain.vocabulary.get
+    words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], type=pa.large_string()))
+    coded = words.flatten().dictionary_encode()
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    own = [[i for i in map(place, word_features(w)) if i is not None] for w in coded.dictionary.to_pylist()]
+    some = np.array([bool(r) for r in own], dtype=bool)
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    hit = some[index] if len(index) else np.zeros(0, dtype=bool)
+    pairs = np.unique(np.array([(d, f) for d, w in zip(doc[hit].tolist(), index[hit].tolist(), strict=True) for f in own[w]], dtype=np.int64).reshape(-1, 2), axis=0)
+    x = Rows([])
+    x.n, x.row, x.col, x.val = len(texts), pairs[:, 0], pairs[:, 1], np.ones(len(pairs))
+    return chain.run(x)
+
+
 def _scorer(chain: Chain):
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        places = chain.vocabulary.get
         for docs, texts in text_slices(batches, 0, 1):
-            words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], type=pa.large_string()))
-            coded = words.flatten().dictionary_encode()
-            index = coded.indices.to_numpy(zero_copy_only=False)
-            table_ = [[i for i in map(places, word_features(w)) if i is not None] for w in coded.dictionary.to_pylist()]
-            some = np.array([bool(r) for r in table_], dtype=bool)
-            doc = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-            hit = some[index] if len(index) else np.zeros(0, dtype=bool)
-            pairs = np.unique(np.array([(d, f) for d, w in zip(doc[hit].tolist(), index[hit].tolist(), strict=True) for f in table_[w]], dtype=np.int64).reshape(-1, 2), axis=0)
-            x = Rows([])
-            x.n, x.row, x.col, x.val = len(texts), pairs[:, 0], pairs[:, 1], np.ones(len(pairs))
-            p = chain.run(x)
+            p = probabilities(chain, texts)
             yield pa.RecordBatch.from_arrays([pa.array(docs, type=pa.int64()), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(p.shape[1]))], names=["doc_id", *(f"p_kind{i + 1}" for i in range(CATEGORIES)), "p_toxic"])
 
     return run
 
 
+def _filter(chain: Chain, at: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [p[-1] < THRESHOLD for _, texts in text_slices([batch], at, at) for p in probabilities(chain, texts)]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose text toxicity_scores() would not call toxic."""
+    chain = fit(labelled(docs, labels, "toxic", 5, SAMPLE, SAMPLE_CHARS))
+    return docs.mapInArrow(_filter(chain, docs.columns.index("text")), docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_kind1.., p_toxic (the end of the chain), toxic (1 from THRESHOLD on).
 
