@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravelin.common import settle
 from ravelin.functions import names, paths
 from ravelin.operators import graph, ledger, resolve
 from ravelin.plans import change, check, kinds, planning, reconcile, search
@@ -110,10 +111,10 @@ def cycle_report(spark, d):
     return x.orderBy(F.desc("files"), "unit").limit(10)
 
 
-def _unit_graph(spark, d):
-    edges = part_value_edges(spark, d)
-    unit_of = graph.units(edges)
-    return unit_of, graph.unit_edges(edges, unit_of)
+def _unit_graph(spark, d, edges: DataFrame | None = None):
+    edges = settle(part_value_edges(spark, d)) if edges is None else edges
+    unit_of = settle(graph.units(edges))
+    return unit_of, settle(graph.unit_edges(edges, unit_of))
 
 
 LEVELS = f"""WITH RECURSIVE {PART_EDGES}, {CLOSURE}, {UNITS}, {UNIT_EDGES},
@@ -176,14 +177,14 @@ def overall_progress(spark, d):
 
 
 def _plan_inputs(spark, d):
-    edges = part_edges(spark, d)
-    unit_of_some, value = _unit_graph(spark, d)
+    edges = settle(part_edges(spark, d))  # several operators read it
+    unit_of_some, value = _unit_graph(spark, d, edges.where("not type_only").select("src", "dst"))
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
     unit_of = parts.join(unit_of_some, "node", "left").select("node", F.coalesce("unit", "node").alias("unit"))
     types = graph.unit_edges(edges.where("type_only").select("src", "dst"), unit_of).join(value, ["src", "dst"], "left_anti")
     # an entry whose last event has a low value counts as stale
     stale = entries_of(spark, d).where("status <> 'in_progress' and value < 10").select("ts")
-    progress = planning.unit_progress(unit_of, entries_of(spark, d), stale)
+    progress = settle(planning.unit_progress(unit_of, entries_of(spark, d), stale))
     return unit_of, value, types, progress
 
 
@@ -237,12 +238,12 @@ ranked AS (SELECT r.unit, pending_types, unlocks, coalesce(downstream, 0) AS dow
 
 @query(f"{RANKED} SELECT unit, pending_types, unlocks, downstream, lines, tests_enabled, rank FROM ranked")
 def rank_next(spark, d):
-    return _ranked(spark, d)[1].select("unit", "pending_types", "unlocks", "downstream", "lines", "tests_enabled", "rank")
+    return _ranked(spark, d)[1].select("unit", "pending_types", "unlocks", "downstream", "lines", "tests_enabled", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{RANKED} SELECT unit, rank FROM ranked ORDER BY rank LIMIT 3")
 def next_three(spark, d):
-    return _ranked(spark, d)[1].orderBy("rank").limit(3).select("unit", "rank")
+    return _ranked(spark, d)[1].orderBy("rank").limit(3).select("unit", F.col("rank").cast("long").alias("rank"))
 
 
 def _batches(spark, d):
