@@ -23,7 +23,7 @@ from ravelin.llm.common import stash, table
 from ravelin.llm.quality import held_out
 
 DEPTH, SPLIT = 5, 3  # bytes of context; depth at which buckets take over from the driver
-BLOCK_BYTES, CHUNK_BYTES = 16_000_000, 4_000_000
+BLOCK_BYTES, CHUNK_BYTES = 12_000_000, 1_000_000
 LOG_HALF = np.log(0.5)
 END = "\n"
 
@@ -236,6 +236,8 @@ def _blocks(buckets: int):
             block = Block(texts, np.array(train, dtype=np.int64), buckets)
             rows = [(base + number, 0, None, None, _zip(block.train), _zip(np.frombuffer(b"".join(texts), dtype=np.uint8)), _zip(np.array([len(t) for t in texts], dtype=np.int64)), ids)]
             rows += [(base + number, kind, b, data, n, None, None, None) for kind, b, data, n in block.asks()]
+            del block
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         number, size, ids, texts, train = 0, 0, [], [], []

@@ -19,6 +19,7 @@ from ravelin.llm.common import local_rows, mix_hash, numbered, stash, table
 
 BLOCK_ROWS = 16
 TARGET = {"src0": 4, "src1": 3, "src2": 2}  # weights of the production mix; any other source: 1
+PIECE_ROWS = 1_000  # rows of a source that one task numbers
 MAX_PERIOD = 1_000_000  # slots; bounds the schedule that is broadcast
 
 
@@ -62,16 +63,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default:
     for t, i in enumerate(period(own)):
         slots[i].append(t)
     total = sum(own)
-    plan = local_rows(spark, [{"_rv_source": s, "_rv_slots": x} for s, x in zip(names, slots, strict=True)], "_rv_source string, _rv_slots array<int>")
-    largest = max((r["n"] for r in sizes), default=0)
-    pieces = max(1, min(65_536, largest // 2_000))
-    at = rows.withColumn("_rv_h", mix_hash(seed, "_rv_at"))
-    at = numbered(at, ["source"], [F.col("_rv_h"), F.col("_rv_at")], F.pmod(F.shiftright("_rv_h", 16), F.lit(pieces)).cast("int"), "_rv_n")
-    at = at.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_rv_source")))  # MAX_PERIOD slots at most
+    pieces = {r["source"]: 1 + r["n"] // PIECE_ROWS for r in sizes}
+    plan = local_rows(spark, [{"_rv_source": s, "_rv_slots": x, "_rv_pieces": pieces[s]} for s, x in zip(names, slots, strict=True)], "_rv_source string, _rv_slots array<int>, _rv_pieces int")
+    at = rows.withColumn("_rv_h", mix_hash(seed, "_rv_at")).join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_rv_source")))  # MAX_PERIOD slots at most
+    at = numbered(at, ["source"], [F.col("_rv_h"), F.col("_rv_at")], F.pmod(F.shiftright("_rv_h", 16), F.col("_rv_pieces")).cast("int"), "_rv_n")
     block, width = F.floor(F.col("_rv_n") / block_rows), F.size("_rv_slots")
     at = at.withColumn("weight", width).withColumn("block", block.cast("long")).withColumn("place", (F.col("_rv_n") % block_rows).cast("int"))
     slot = F.floor(F.col("block") / F.col("weight")) * total + F.element_at("_rv_slots", (F.col("block") % F.col("weight")).cast("int") + 1)
-    return at.withColumn("slot", slot.cast("long")).drop("_rv_at", "_rv_h", "_rv_n", "_rv_source", "_rv_slots")
+    return at.withColumn("slot", slot.cast("long")).drop("_rv_at", "_rv_h", "_rv_n", "_rv_source", "_rv_slots", "_rv_pieces")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

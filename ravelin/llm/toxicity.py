@@ -7,6 +7,7 @@ last, toxicity as labelled; each model sees the probabilities of those before it
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,24 +19,28 @@ from ravelin.llm.linear import Rows, sigmoid, sparse_fit
 from ravelin.llm.quality import labelled
 
 SAMPLE, SAMPLE_CHARS = 3_000, 30_000  # labelled texts of each kind at most, and characters of each that the fit uses
+SPACE = 1 << 22  # feature numbers
 FEATURES, LEAST_Z, LEAST_DOCS = 2_000, 4.0, 4
-CATEGORIES, FOLDS, RIDGE, THRESHOLD = 3, 5, 0.05, 0.5
+CATEGORIES, FOLDS, RIDGE = 3, 5, 0.005
+THRESHOLDS, FALSE_ALARMS = (0.1, 0.5), 0.002  # the lowest threshold in the range with so few false alarms out of fold
 EDGES = ".,;:!?'\"()[]{}<>%$#*&|-_`~…«»„“”"
 
 
-def word_features(word: str) -> list[str]:
-    """A word, and its beginnings of 3 to 6 letters."""
+def word_features(word: str) -> list[int]:
+    """A word, and its beginnings of 3 to 6 letters, by number."""
     word = word.strip(EDGES)
-    return ["=" + word, *("^" + word[:k] for k in range(3, min(7, len(word) + 1)))] if word else []
+    names = ["=" + word, *("^" + word[:k] for k in range(3, min(7, len(word) + 1)))] if word else []
+    return [zlib.crc32(n.encode()) % SPACE for n in names]
 
 
-def text_features(text: str) -> set[str]:
-    return {f for w in set(text.lower().encode().split()) for f in word_features(w.decode())}
+def text_features(text: str) -> np.ndarray:
+    return np.unique(np.array([f for w in set(text.lower().encode().split()) for f in word_features(w.decode())], dtype=np.int64))
 
 
 @dataclass
 class Chain:
-    vocabulary: dict[str, int] = field(default_factory=dict)
+    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # sorted feature numbers
+    threshold: float = THRESHOLDS[1]
     links: list[np.ndarray] = field(default_factory=list)  # sparse weights, one for each earlier probability, intercept
 
     def run(self, x: Rows) -> np.ndarray:
@@ -47,20 +52,17 @@ class Chain:
         return out if self.links else np.zeros((x.n, CATEGORIES + 1))
 
 
-def _select(found: list[set[str]], y: np.ndarray) -> dict[str, int]:
+def _select(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The features whose share differs most between the kinds, in standard errors."""
-    counts: tuple[dict, dict] = ({}, {})
+    a, b = np.zeros(SPACE), np.zeros(SPACE)
     for own, k in zip(found, y.tolist(), strict=True):
-        c = counts[k]
-        for f in own:
-            c[f] = c.get(f, 0) + 1
-    names = [f for f in {**counts[0], **counts[1]} if counts[0].get(f, 0) + counts[1].get(f, 0) >= LEAST_DOCS]
-    a, b = (np.array([counts[k].get(f, 0) for f in names], dtype=np.float64) for k in (1, 0))
+        (a if k else b)[own] += 1
     na, nb = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     p = (a + b + 1) / (na + nb + 2)
     z = np.abs(a / na - b / nb) / np.sqrt(p * (1 - p) * (1 / na + 1 / nb))
-    order = sorted((-z[i], names[i]) for i in np.flatnonzero(z >= LEAST_Z))[:FEATURES]
-    return {f: i for i, (_, f) in enumerate(order)}
+    z[a + b < LEAST_DOCS] = 0
+    best = np.argsort(-z, kind="stable")[:FEATURES]
+    return np.sort(best[z[best] >= LEAST_Z])
 
 
 def _clusters(m: np.ndarray, k: int) -> np.ndarray:
@@ -77,8 +79,9 @@ def _clusters(m: np.ndarray, k: int) -> np.ndarray:
     return own
 
 
-def rows_of(found: list[set[str]], vocabulary: dict[str, int]) -> Rows:
-    columns = [np.array(sorted(vocabulary[f] for f in own if f in vocabulary), dtype=np.int64) for own in found]
+def rows_of(found: list[np.ndarray], vocabulary: np.ndarray) -> Rows:
+    """Rows whose columns are places in the vocabulary."""
+    columns = [np.flatnonzero(np.isin(vocabulary, own, assume_unique=True)) for own in found]
     return Rows([(c, np.ones(len(c))) for c in columns])
 
 
@@ -96,8 +99,8 @@ def fit(rows: list[tuple[str, int]]) -> Chain:
         dense[i, x.col[x.row == j]] = 1
     kind = np.full(len(y), -1)
     kind[toxic] = _clusters(dense, min(CATEGORIES, len(toxic)))
-    fold, parts = np.arange(len(y)) % FOLDS, [[f & vocabulary.keys() for f in found]]
-    pick = lambda keep: rows_of([f for f, k in zip(parts[0], keep.tolist(), strict=True) if k], vocabulary)
+    fold, found = np.arange(len(y)) % FOLDS, [np.intersect1d(own, vocabulary, assume_unique=True) for own in found]
+    pick = lambda keep: rows_of([f for f, k in zip(found, keep.tolist(), strict=True) if k], vocabulary)
     chain, before = Chain(vocabulary), np.zeros((len(y), 0))
     for target in [*((kind == k).astype(np.int64) for k in range(CATEGORIES)), y]:
         held = np.zeros(len(y))
@@ -107,6 +110,9 @@ def fit(rows: list[tuple[str, int]]) -> Chain:
             held[~inside] = sigmoid(pick(~inside).dot(w[:size]) + np.column_stack([before[~inside], np.ones((~inside).sum())]) @ w[size:])
         chain.links.append(sparse_fit(x, before, target, size, RIDGE, 100))
         before = np.column_stack([before, held])
+    clean = np.sort(held[y == 0])
+    allowed = clean[len(clean) - 1 - int(FALSE_ALARMS * len(clean))]  # at most so many clean texts lie above it
+    chain.threshold = float(np.clip(np.nextafter(allowed, 1), *THRESHOLDS))
     return chain
 
 
@@ -115,7 +121,7 @@ def probabilities(chain: Chain, texts: list[str]) -> np.ndarray:
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    place = chain.vocabulary.get
+    place = {f: i for i, f in enumerate(chain.vocabulary.tolist())}.get
     words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], type=pa.large_string()))
     coded = words.flatten().dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
@@ -145,7 +151,7 @@ def _filter(chain: Chain, at: int):
         import pyarrow as pa
 
         for batch in batches:
-            keep = [p[-1] < THRESHOLD for _, texts in text_slices([batch], at, at) for p in probabilities(chain, texts)]
+            keep = [p[-1] < chain.threshold for _, texts in text_slices([batch], at, at) for p in probabilities(chain, texts)]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     return run
@@ -158,14 +164,14 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_kind1.., p_toxic (the end of the chain), toxic (1 from THRESHOLD on).
+    """doc_id, p_kind1.., p_toxic (the end of the chain), toxic (1 from the chain's threshold on).
 
     Fitted on at most SAMPLE labelled texts of each kind, none of them in the held-out fifth (see quality.held_out).
     Null and empty texts have no features. Labels of one kind only: every probability is 0.
     """
     chain = fit(labelled(docs, labels, "toxic", 5, SAMPLE, SAMPLE_CHARS))
     kind = "doc_id long, " + "".join(f"p_kind{i + 1} double, " for i in range(CATEGORIES)) + "p_toxic double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(chain), kind).withColumn("toxic", (F.col("p_toxic") >= THRESHOLD).cast("int"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(chain), kind).withColumn("toxic", (F.col("p_toxic") >= chain.threshold).cast("int"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
