@@ -8,6 +8,7 @@ last, toxicity as labelled; each model sees the probabilities of those before it
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,9 +21,10 @@ from ravelin.llm.quality import labelled
 
 SAMPLE, SAMPLE_CHARS = 3_000, 30_000  # labelled texts of each kind at most, and characters of each that the fit uses
 SPACE = 1 << 22  # feature numbers
-FEATURES, LEAST_Z, LEAST_DOCS = 2_000, 4.0, 4
+FEATURES, LEAST_Z, LEAST_DOCS, LEAST_SHARE = 2_000, 7.0, 4, 0.02  # a feature is in so many documents, and in so large a share of one kind
 CATEGORIES, FOLDS, RIDGE = 3, 5, 0.005
-THRESHOLDS, FALSE_ALARMS = (0.1, 0.5), 0.002  # the lowest threshold in the range with so few false alarms out of fold
+THRESHOLDS, FALSE_ALARMS = (0.2, 0.5), 0.002  # the lowest threshold in the range with so few false alarms out of fold
+SPREAD = 60
 EDGES = ".,;:!?'\"()[]{}<>%$#*&|-_`~…«»„“”"
 
 
@@ -33,8 +35,17 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(n.encode()) % SPACE for n in names]
 
 
-def text_features(text: str) -> np.ndarray:
-    return np.unique(np.array([f for w in set(text.lower().encode().split()) for f in word_features(w.decode())], dtype=np.int64))
+def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The feature numbers of a text in order, and how much of each: see amount()."""
+    words = text.lower().encode().split()
+    found = Counter(f for w, n in Counter(words).items() for f in word_features(w.decode()) * n)
+    names = np.array(sorted(found), dtype=np.int64)
+    return names, amount(np.array([found[f] for f in names.tolist()], dtype=np.float64), len(words))
+
+
+def amount(count, words):
+    """About 1 for a feature that one word in SPREAD has; a very short text counts as a somewhat longer one."""
+    return SPREAD * count / (words + SPREAD / 3)
 
 
 @dataclass
@@ -45,7 +56,7 @@ class Chain:
 
     def run(self, x: Rows) -> np.ndarray:
         """A column of probabilities for each link; without links one of zeros."""
-        size, out = len(self.vocabulary), np.zeros((x.n, 0))
+        size, out = 2 * len(self.vocabulary), np.zeros((x.n, 0))
         for w in self.links:
             z = x.dot(w[:size]) + np.column_stack([out, np.ones(x.n)]) @ w[size:]
             out = np.column_stack([out, sigmoid(z)])
@@ -55,12 +66,12 @@ class Chain:
 def _select(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The features whose share differs most between the kinds, in standard errors."""
     a, b = np.zeros(SPACE), np.zeros(SPACE)
-    for own, k in zip(found, y.tolist(), strict=True):
+    for (own, _), k in zip(found, y.tolist(), strict=True):
         (a if k else b)[own] += 1
     na, nb = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     p = (a + b + 1) / (na + nb + 2)
     z = np.abs(a / na - b / nb) / np.sqrt(p * (1 - p) * (1 / na + 1 / nb))
-    z[a + b < LEAST_DOCS] = 0
+    z[(a + b < LEAST_DOCS) | (np.maximum(a / na, b / nb) < LEAST_SHARE)] = 0  # what only a few copies share says nothing
     best = np.argsort(-z, kind="stable")[:FEATURES]
     return np.sort(best[z[best] >= LEAST_Z])
 
@@ -79,10 +90,17 @@ def _clusters(m: np.ndarray, k: int) -> np.ndarray:
     return own
 
 
-def rows_of(found: list[np.ndarray], vocabulary: np.ndarray) -> Rows:
-    """Rows whose columns are places in the vocabulary."""
-    columns = [np.flatnonzero(np.isin(vocabulary, own, assume_unique=True)) for own in found]
-    return Rows([(c, np.ones(len(c))) for c in columns])
+def rows_of(found: list[tuple[np.ndarray, np.ndarray]], size: int) -> Rows:
+    """Rows with two columns for each place in the vocabulary: whether a text has it, and how much of it."""
+    return Rows([(np.concatenate([own, own + size]), np.concatenate([np.ones(len(own)), much])) for own, much in found])
+
+
+def places(found: tuple[np.ndarray, np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers that are in the vocabulary, as places in it."""
+    own, much = found
+    at = np.minimum(np.searchsorted(vocabulary, own), max(0, len(vocabulary) - 1))
+    here = vocabulary[at] == own if len(vocabulary) else np.zeros(len(own), dtype=bool)
+    return at[here], much[here]
 
 
 def fit(rows: list[tuple[str, int]]) -> Chain:
@@ -91,17 +109,16 @@ def fit(rows: list[tuple[str, int]]) -> Chain:
         return Chain()
     found = [text_features(t) for t, _ in rows]
     vocabulary = _select(found, y)
-    size = len(vocabulary)
-    x = rows_of(found, vocabulary)
-    toxic = np.flatnonzero(y)
-    dense = np.zeros((len(toxic), size))
+    found = [places(own, vocabulary) for own in found]
+    size, toxic = 2 * len(vocabulary), np.flatnonzero(y)
+    dense = np.zeros((len(toxic), max(1, len(vocabulary))))
     for i, j in enumerate(toxic.tolist()):
-        dense[i, x.col[x.row == j]] = 1
+        dense[i, found[j][0]] = 1
     kind = np.full(len(y), -1)
     kind[toxic] = _clusters(dense, min(CATEGORIES, len(toxic)))
-    fold, found = np.arange(len(y)) % FOLDS, [np.intersect1d(own, vocabulary, assume_unique=True) for own in found]
-    pick = lambda keep: rows_of([f for f, k in zip(found, keep.tolist(), strict=True) if k], vocabulary)
-    chain, before = Chain(vocabulary), np.zeros((len(y), 0))
+    fold = np.arange(len(y)) % FOLDS
+    pick = lambda keep: rows_of([f for f, k in zip(found, keep.tolist(), strict=True) if k], len(vocabulary))
+    x, chain, before = pick(fold >= 0), Chain(vocabulary), np.zeros((len(y), 0))
     for target in [*((kind == k).astype(np.int64) for k in range(CATEGORIES)), y]:
         held = np.zeros(len(y))
         for k in range(FOLDS):
@@ -129,9 +146,11 @@ def probabilities(chain: Chain, texts: list[str]) -> np.ndarray:
     some = np.array([bool(r) for r in own], dtype=bool)
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
     hit = some[index] if len(index) else np.zeros(0, dtype=bool)
-    pairs = np.unique(np.array([(d, f) for d, w in zip(doc[hit].tolist(), index[hit].tolist(), strict=True) for f in own[w]], dtype=np.int64).reshape(-1, 2), axis=0)
-    x = Rows([])
-    x.n, x.row, x.col, x.val = len(texts), pairs[:, 0], pairs[:, 1], np.ones(len(pairs))
+    pairs, counts = np.unique(np.array([(d, f) for d, w in zip(doc[hit].tolist(), index[hit].tolist(), strict=True) for f in own[w]], dtype=np.int64).reshape(-1, 2), axis=0, return_counts=True)
+    x, n = Rows([]), pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    much = amount(counts.astype(np.float64), n[pairs[:, 0]])
+    x.n, x.row = len(texts), np.concatenate([pairs[:, 0], pairs[:, 0]])
+    x.col, x.val = np.concatenate([pairs[:, 1], pairs[:, 1] + len(chain.vocabulary)]), np.concatenate([np.ones(len(pairs)), much])
     return chain.run(x)
 
 
