@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import table, text_slices
-from ravelin.llm.tokens import BytePairs
+from ravelin.llm.tokens import BytePairs, shared
 
 WINDOW = 1024
 END_ID = 0
@@ -98,7 +98,7 @@ def _packer(vocabulary: str, end_id: int, window: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder, packer = BytePairs(vocabulary), SumOfSquares(window)
+        coder, packer = shared(BytePairs, vocabulary), SumOfSquares(window)
         base = TaskContext.get().partitionId() << 33
 
         def ready():

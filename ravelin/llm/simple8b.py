@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.llm.common import shared_dir, table, text_slices
-from ravelin.llm.tokens import WordPairs
+from ravelin.llm.tokens import WordPairs, shared
 
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -103,7 +103,7 @@ def _encoder(vocabulary: str, end_id: int, block_ids: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder, part = WordPairs(vocabulary), TaskContext.get().partitionId()
+        coder, part = shared(WordPairs, vocabulary), TaskContext.get().partitionId()
         first, block = 0, 0
         for docs, texts in text_slices(batches, 0, 1):
             ids, n = coder.encode(texts)

@@ -15,7 +15,7 @@ import numpy as np
 RARE = re.compile(r"[^\S \n]|" + "\x02")
 EDGE = re.compile(r"(?<=\S) (?=\S)")
 MARK = "\x02"
-CLIP_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\na-z0-9]+)"  # of lower-cased words without white space
 
 
 def gather(index: np.ndarray, starts: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -34,18 +34,36 @@ def _distinct(lists):
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def shared(kind: type, path: str):
+    """The coder of a worker process for a vocabulary. Later tasks find it again: it hangs on a module that stays in the
+    worker, while this one is sent anew with every task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_ravelin_coders", {})
+    if (kind.__name__, path) not in kept:
+        kept[kind.__name__, path] = kind(path)
+    return kept[kind.__name__, path]
+
+
+def in_one_call(coder, texts: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts that the coder takes one by one: all ids one after the other, and the number of each text. mark is
+    a text with an id of its own that is in none of them."""
+    ids = coder.encode_to_numpy(mark.join(texts) + mark, disallowed_special=()).astype(np.int64)
+    cut = ids == coder.encode_single_token(mark)
+    ends = np.flatnonzero(cut)
+    return ids[~cut], np.diff(ends, prepend=-1) - 1
+
+
 class BytePairs:
     """Byte-level BPE whose pieces may start with a space (byte_bpe_50k): ids by the same ranks, without special tokens."""
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         ranks = _vocabulary(path, "")
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}%s]+|\s+(?!\S)|\s+"
+        self.fast = tiktoken.Encoding("ranks", pat_str=words % "", mergeable_ranks=ranks, special_tokens={})
+        self.units = tiktoken.Encoding("units", pat_str=MARK + "|" + words % MARK, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of each text."""
@@ -60,9 +78,8 @@ class BytePairs:
             elif text:
                 marked[i] = MARK + text.replace("\n", " \n " + MARK)
         index, names, counts = _distinct(pc.split_pattern(pa.array(marked, type=pa.large_string()), " "))
-        encode = self.fast.encode_ordinary
-        table = [encode(u if u == "\n" else u[1:] if u[0] == MARK else " " + u) if u else [] for u in names]
-        return _assemble(index, counts, table, odd)
+        names = [u and (u if u == "\n" else u[1:] if u[0] == MARK else " " + u) for u in names]
+        return _assemble(index, counts, *in_one_call(self.units, names, MARK), odd)
 
     def _odd(self, text: str) -> list[int]:
         """Runs of white space, and white space at the ends: cut only at a blank between two other characters."""
@@ -74,37 +91,48 @@ class WordPairs:
     """BPE with word ends, lower case, white space dropped (word_bpe_49k)."""
 
     def __init__(self, path: str):
-        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.pieces = regex.compile(CLIP_PIECES)
+        self.ascii = re.compile(ASCII_PIECES)
         # a blank stands for the end of a word; it merges with the byte before it first, as those ids come first
-        self.fast = tiktoken.Encoding("ranks", pat_str=r"[^ ]+ ", mergeable_ranks=_vocabulary(path, "</w>"), special_tokens={})
+        self.fast = tiktoken.Encoding("ranks", pat_str=r"[^ \n]+ |\n", mergeable_ranks=_vocabulary(path, "</w>"), special_tokens={})
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
         index, names, counts = _distinct(pc.ascii_split_whitespace(pa.array(texts, type=pa.large_string())))
-        table = []
-        find, encode, plain = self.pieces.findall, self.fast.encode_ordinary, self.whole.encode
-        for word in names:
-            if word.isascii():
-                table.append(encode(" ".join(find(word.lower())) + " "))
-            elif word.isalpha():  # letters only: one piece, if lower-casing and composition keep it so
-                table.append(self._letters(word))
-            else:
-                table.append(plain(word, add_special_tokens=False).ids)
-        return _assemble(index, counts, table, {})
-
-    def _letters(self, word: str) -> list[int]:
+        prepared = [""] * len(names)
+        plain = [i for i, word in enumerate(names) if word.isascii()]
+        cut = self.ascii.sub(r"\1 ", "\n".join(names[i] for i in plain).lower()).split("\n")
+        for i, word in zip(plain, cut, strict=bool(plain)):
+            prepared[i] = word
+        whole = {}
+        for i, word in enumerate(names):
+            if not word.isascii():
+                prepared[i] = self._letters(word)
+                if not prepared[i]:
+                    whole[i] = self.whole.encode(word, add_special_tokens=False).ids
+        flat, lens = in_one_call(self.fast, prepared, "\n")
+        if whole:  # behind the others
+            starts = np.cumsum(lens) - lens
+            own = np.array(list(whole), dtype=np.int64)
+            lens[own] = [len(x) for x in whole.values()]
+            starts[own] = len(flat) + np.cumsum(lens[own]) - lens[own]
+            return _assemble(index, counts, np.concatenate([flat, *(np.array(x, dtype=np.int64) for x in whole.values())]), lens, {}, starts)
+        return _assemble(index, counts, flat, lens, {})
+
+    def _letters(self, word: str) -> str:
+        """A word of letters as the coder takes it; none if it isn't one piece, or lower-casing and composition may break it."""
         import unicodedata
 
+        if not word.isalpha():
+            return ""
         low = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-        return self.fast.encode_ordinary(low + " ") if low.isalpha() else self.whole.encode(word, add_special_tokens=False).ids
+        return low + " " if low.isalpha() else ""
 
 
 def _vocabulary(path: str, end: str) -> dict[bytes, int]:
@@ -126,10 +154,9 @@ def _vocabulary(path: str, end: str) -> dict[bytes, int]:
     return out
 
 
-def _assemble(index, counts, table, odd):
-    lens = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-    flat = np.fromiter((x for ids in table for x in ids), dtype=np.int64, count=int(lens.sum()))
-    starts = np.cumsum(lens) - lens
+def _assemble(index, counts, flat, lens, odd, starts=None):
+    if starts is None:
+        starts = np.cumsum(lens) - lens
     ids = gather(index, starts, lens, flat) if len(index) else np.zeros(0, dtype=np.int64)
     ends = np.concatenate([[0], np.cumsum(lens[index])]) if len(index) else np.zeros(1, dtype=np.int64)
     upto = np.cumsum(counts)
