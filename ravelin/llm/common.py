@@ -65,16 +65,16 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], fine: Column
     fine is an int that cuts every group into pieces. Only a piece is sorted in one task; the pieces' counts (a row
     for each group and piece) give the offsets. So a group may hold any share of the rows.
     """
+    keys = ["_rv_fine"]
     df = df.withColumn("_rv_fine", fine)
-    sizes = df.groupBy(*groups, "_rv_fine").agg(F.count(F.lit(1)).alias("_rv_n"))
-    before = Window.partitionBy(*groups).orderBy("_rv_fine").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(g).alias(f"_rv_g{i}") for i, g in enumerate(groups)], F.col("_rv_fine").alias("_rv_f"), F.coalesce(F.sum("_rv_n").over(before), F.lit(0)).alias("_rv_before"))
-    inside = Window.partitionBy(*groups, "_rv_fine").orderBy(*order)
-    same = F.col("_rv_fine").eqNullSafe(F.col("_rv_f"))
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_rv_g{i}"))
-    out_df = df.withColumn("_rv_rn", F.row_number().over(inside)).join(offsets, same, "left")
-    return out_df.withColumn(out, F.col("_rv_before") + F.col("_rv_rn") - 1).drop("_rv_fine", "_rv_f", "_rv_before", "_rv_rn", *[f"_rv_g{i}" for i in range(len(groups))])
+    for i, g in enumerate(groups):  # never null, so that the window and the join agree on one exchange
+        df = df.withColumn(f"_rv_k{i}", F.coalesce(F.col(g).cast("string"), F.lit(""))).withColumn(f"_rv_null{i}", F.col(g).isNull())
+        keys += [f"_rv_k{i}", f"_rv_null{i}"]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rv_size"))
+    before = Window.partitionBy(*keys[1:]).orderBy("_rv_fine").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, F.coalesce(F.sum("_rv_size").over(before), F.lit(0)).alias("_rv_before"))
+    ranked = df.withColumn("_rv_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.join(offsets, keys).withColumn(out, F.col("_rv_before") + F.col("_rv_rn") - 1).drop(*keys, "_rv_before", "_rv_rn")
 
 
 def text_slices(batches, ids: int, text: int, most: int = 4_000_000):
