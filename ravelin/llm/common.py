@@ -77,17 +77,16 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], fine: Column
     return ranked.join(offsets, keys).withColumn(out, F.col("_rv_before") + F.col("_rv_rn") - 1).drop(*keys, "_rv_before", "_rv_rn")
 
 
-def text_slices(batches, ids: int, text: int, most: int = 4_000_000):
-    """(ids, texts) lists from Arrow batches, cut at about `most` characters of text; null texts become ''."""
+def text_slices(batches, ids: int, text: int, most: int = 3_000_000):
+    """(ids, texts) lists from Arrow batches, cut at about `most` bytes of text; null texts become ''."""
+    import numpy as np
+    import pyarrow.compute as pc
+
     for batch in batches:
-        keys, texts = batch.column(ids).to_pylist(), batch.column(text).to_pylist()
-        at, size = 0, 0
-        for i, x in enumerate(texts):
-            if x is None:
-                texts[i] = x = ""
-            size += len(x)
-            if size >= most:
-                yield keys[at : i + 1], texts[at : i + 1]
-                at, size = i + 1, 0
-        if at < len(texts):
-            yield keys[at:], texts[at:]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            part = batch.slice(at, stop - at)
+            yield part.column(ids).to_pylist(), ["" if x is None else x for x in part.column(text).to_pylist()]
+            at = stop

@@ -101,8 +101,7 @@ def _filter(good: bytes, bad: bytes, weights: np.ndarray, at: int):
 
         c = Compressors(good, bad)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep = [float(sigmoid(np.array(c.features(t or "")) @ weights[:-1] + weights[-1])) >= THRESHOLD for t in texts]
+            keep = [float(sigmoid(np.array(c.features(t)) @ weights[:-1] + weights[-1])) >= THRESHOLD for _, texts in text_slices([batch], at, at) for t in texts]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     return run
