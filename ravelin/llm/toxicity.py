@@ -134,12 +134,12 @@ def fit(rows: list[tuple[str, int]]) -> Chain:
 
 
 def probabilities(chain: Chain, texts: list[str]) -> np.ndarray:
-    """A row for each text, from its distinct words that have a feature."""
+    """A row for each text, from its distinct words that have a feature; zeros for a text without words."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     place = {f: i for i, f in enumerate(chain.vocabulary.tolist())}.get
-    words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], type=pa.large_string()))
+    words = pc.ascii_split_whitespace(pa.array([t.lower().strip(" \t\n\r\v\f") for t in texts], type=pa.large_string()))
     coded = words.flatten().dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
     own = [[i for i in map(place, word_features(w)) if i is not None] for w in coded.dictionary.to_pylist()]
@@ -151,7 +151,9 @@ def probabilities(chain: Chain, texts: list[str]) -> np.ndarray:
     much = amount(counts.astype(np.float64), n[pairs[:, 0]])
     x.n, x.row = len(texts), np.concatenate([pairs[:, 0], pairs[:, 0]])
     x.col, x.val = np.concatenate([pairs[:, 1], pairs[:, 1] + len(chain.vocabulary)]), np.concatenate([np.ones(len(pairs)), much])
-    return chain.run(x)
+    p = chain.run(x)
+    p[[not t.strip(" \t\n\r\v\f") for t in texts]] = 0
+    return p
 
 
 def _scorer(chain: Chain):
@@ -186,7 +188,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_kind1.., p_toxic (the end of the chain), toxic (1 from the chain's threshold on).
 
     Fitted on at most SAMPLE labelled texts of each kind, none of them in the held-out fifth (see quality.held_out).
-    Null and empty texts have no features. Labels of one kind only: every probability is 0.
+    Null and empty texts, and those of white space, get 0 throughout. Labels of one kind only: every probability is 0.
     """
     chain = fit(labelled(docs, labels, "toxic", 5, SAMPLE, SAMPLE_CHARS))
     kind = "doc_id long, " + "".join(f"p_kind{i + 1} double, " for i in range(CATEGORIES)) + "p_toxic double"
