@@ -1,10 +1,11 @@
 """The library's operators on the driver's tables, each with equivalent SQL.
 
 The tables hold no source trees, so they stand in for them. A part (or supplier) depends on the next one of the same
-order; a dependency of parts counts if at least two orders confirm it, one of suppliers if it has at least twice the
-average support. Lines that are not final (return flag N) are type imports. p_brand is a part's package, p_type its
-directory, p_size its lines. `events` is the ledger's log: a user is an entry, an event type a status. `documents` at
-two revisions are snapshots: at the head, English articles are edited, source src3 is gone and source src5 is new.
+order; a dependency of parts counts if at least two orders confirm it (dep_edges and catch_up_fixpoint take all), one of
+suppliers if it has at least twice the average support. Lines that are not final (return flag N) are type imports.
+p_brand is a part's package, p_type its directory, p_size its lines. `events` is the ledger's log: a user is an entry,
+an event type a status. `documents` at two revisions are snapshots: at the head, English articles are edited, source
+src3 is gone and source src5 is new.
 """
 
 from __future__ import annotations
@@ -60,9 +61,10 @@ unit_of AS (SELECT n.node, least(n.node, coalesce(min(p.dst), n.node)) AS unit F
 UNIT_EDGES = "unit_edges AS (SELECT DISTINCT a.unit AS src, b.unit AS dst FROM value_edges e JOIN unit_of a ON e.src = a.node JOIN unit_of b ON e.dst = b.node WHERE a.unit <> b.unit)"
 
 
-def part_edges(spark, d):
+def part_edges(spark, d, least: int = 2):
+    """src, dst, type_only. The SQL asks for two orders; queries without SQL can take every edge (least = 1)."""
     x = _imports(spark, d, "l_partkey").groupBy("src", "dst").agg(F.bool_and(F.col("kind") == "type").alias("type_only"), F.count(F.lit(1)).alias("n"))
-    return x.where("n >= 2").select("src", "dst", "type_only")
+    return x.where(F.col("n") >= least).select("src", "dst", "type_only")
 
 
 def part_value_edges(spark, d):
@@ -176,8 +178,8 @@ def overall_progress(spark, d):
 # Planning
 
 
-def _plan_inputs(spark, d):
-    edges = settle(part_edges(spark, d))  # several operators read it
+def _plan_inputs(spark, d, least: int = 2):
+    edges = settle(part_edges(spark, d, least))  # several operators read it
     unit_of_some, value = _unit_graph(spark, d, edges.where("not type_only").select("src", "dst"))
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
     unit_of = parts.join(unit_of_some, "node", "left").select("node", F.coalesce("unit", "node").alias("unit"))
@@ -267,7 +269,7 @@ def wave(spark, d):
 
 @query()
 def catch_up_fixpoint(spark, d):
-    unit_of, value, _, progress = _plan_inputs(spark, d)
+    _, value, _, progress = _plan_inputs(spark, d, least=1)
     wanted = progress.where("not done").select("unit", (~F.col("recorded")).alias("added"))
     return graph.catch_up(wanted, value, progress.where("recorded").select("unit"))
 

@@ -40,3 +40,35 @@ def test_batches_hold_every_ready_unit_once_within_the_caps(spark):
     for r in found:
         size[r["batch"]] = size.get(r["batch"], 0) + 1
     assert max(size.values()) <= 6
+
+
+def test_catch_up_takes_every_edge(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    line = lambda o, k, p, flag: (o, k, p, 1, "1995-01-01", 1.0, flag, "O")
+    lines = [line(o, k, p, rng.choice("NAR")) for o in range(70) for k, p in enumerate(rng.sample(range(1, 41), 2))]
+    kinds = {p: (rng.choice([*queries.STATUS]), rng.choice([5.0, 50.0])) for p in rng.sample(range(1, 41), 24)}
+    spark.createDataFrame(lines, "l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int, l_shipdate string, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p,) for p in range(1, 41)], "p_partkey int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(p, p, 1, t, v) for p, (t, v) in kinds.items()], "event_id int, user_id int, ts int, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+
+    kind = {}
+    for a, b in zip(lines[::2], lines[1::2], strict=True):
+        kind.setdefault((a[2], b[2]), []).append(a[6] != "N")
+    edges = {e for e, v in kind.items() if any(v)}
+    reach = set(edges)
+    while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+        reach |= more
+    unit = {p: min([p, *(q for q in range(1, 41) if (p, q) in reach and (q, p) in reach)]) for p in range(1, 41)}
+    recorded = {p for p, (t, _) in kinds.items() if queries.STATUS[t] != "in_progress"}
+    done = {p for p in recorded if kinds[p][1] >= 10}
+    whole = lambda s: {u for u in unit.values() if all(p in s for p in unit if unit[p] == u)}
+    had = whole(recorded)
+    now = {*unit.values()} - whole(done)
+    waits = {(unit[a], unit[b]) for a, b in edges if unit[a] != unit[b]}
+    while gone := {a for a, b in waits if a in now - had and b not in now | had}:
+        now -= gone
+    wanted = {(u, u not in had) for u in now}
+    found = queries.catch_up_fixpoint(spark, str(tmp_path)).collect()
+    assert {(r["unit"], r["added"]) for r in found} == wanted and len(found) == len(wanted)
