@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ravelin.llm.common import shared_dir, table
 from ravelin.llm.mixing import mix_sources
+from ravelin.llm.near import keep_first
 from ravelin.llm.packing import pack_documents
 from ravelin.llm.quality import keep_good
-from ravelin.llm.simhash import keep_first
 from ravelin.llm.toxicity import keep_clean
 
 
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
+    """Of texts linked by a Jaccard similarity of 0.8 or more (sets of five words) the one with the smallest id stays."""
     return keep_first(docs)
 
 
