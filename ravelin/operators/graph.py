@@ -7,6 +7,7 @@ Spark jobs costs more than the graph; larger ones run as joins until nothing cha
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ravelin.common import settle
 
 LOCAL_EDGES = 200_000  # a bound on what one task holds
+OUT_ROWS = 50_000  # rows of a result that one task holds at a time
 
 
 def small(edges: DataFrame) -> bool:
@@ -25,18 +27,21 @@ def dependency_edges(imports: DataFrame) -> DataFrame:
     return imports.groupBy("src", "dst").agg(F.bool_and(F.col("kind") == "type").alias("type_only"), F.array_sort(F.collect_set("name")).alias("names"))
 
 
+def _out(rows: Iterable[tuple], schema):
+    """Arrow batches of at most OUT_ROWS rows, taken from rows as they are asked for: a closure may be quadratic."""
+    import pyarrow as pa
+
+    for some in batched(rows, OUT_ROWS):
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in some], schema=schema)
+
+
 def _in_one_task(edges: DataFrame, solve: Callable[[list, list], Iterable[tuple]], ddl: str) -> DataFrame:
     def run(batches):
-        import pyarrow as pa
-
         src, dst = [], []
         for b in batches:
             src += b.column(0).to_pylist()
             dst += b.column(1).to_pylist()
-        rows = list(solve(src, dst))
-        names = [x.split()[0] for x in ddl.split(", ")]
-        if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
+        yield from _out(solve(src, dst), schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
