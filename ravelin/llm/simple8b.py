@@ -20,6 +20,7 @@ from ravelin.llm.tokens import WordPairs, shared
 
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
+NARROW = ((np.arange((1 << 16) + 1) >> BITS[1:, None]) > 0).sum(axis=0).astype(np.int8)  # by value
 BLOCK_IDS = 65_536
 END_ID = 2
 FILE_DDL = "part int, block int, first long, n_ids long, doc_ids array<bigint>, doc_lens array<bigint>, words binary"
@@ -31,10 +32,10 @@ def pack(values: np.ndarray) -> bytes:
     n = len(v)
     if not n:
         return b""
-    need = np.zeros(n, dtype=np.int64)  # bits of each value
-    for b in BITS[1:].tolist():
-        need += (v >> np.uint64(b)) > 0  # number of selectors that are too narrow
-    best = np.where(need < 14, 14, 0).astype(np.int64)
+    need = NARROW[np.minimum(v, np.uint64(1 << 16)).astype(np.int32)]  # number of selectors that are too narrow
+    large = np.flatnonzero(v >> np.uint64(16))
+    need[large] = ((v[large] >> BITS[1:, None].astype(np.uint64)) > 0).sum(axis=0)
+    best = np.where(need < 14, np.int8(14), np.int8(0))
     widest, size = [need], 1  # maxima over windows of 1, 2, 4, ... values
     while size * 2 <= min(60, n):
         x = widest[-1]
@@ -48,8 +49,9 @@ def pack(values: np.ndarray) -> bytes:
             top = np.maximum(x[: n - c + 1], x[shift : shift + n - c + 1])
             best[: n - c + 1][top < s] = s
     step, at, places = COUNTS[best].tolist(), 0, []
+    put = places.append
     while at < n:
-        places.append(at)
+        put(at)
         at += step[at]
     places = np.array(places, dtype=np.int64)
     sel = best[places]
@@ -98,12 +100,12 @@ def unpack(words: bytes) -> np.ndarray:
     return out
 
 
-def _encoder(vocabulary: str, end_id: int, block_ids: int):
+def _encoder(vocabulary: str, end_id: int, block_ids: int, specials: bool):
     def encode(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder, part = shared(WordPairs, vocabulary), TaskContext.get().partitionId()
+        coder, part = shared(WordPairs, vocabulary, specials), TaskContext.get().partitionId()
         first, block = 0, 0
         for docs, texts in text_slices(batches, 0, 1):
             ids, n = coder.encode(texts)
@@ -134,15 +136,16 @@ def _decode(batches):
             yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(lens), type=pa.int32()), pa.array(row["doc_ids"], type=pa.int64()), pa.array(ends - lens + row["first"]), pa.array(lens), pa.array(crcs, type=pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
+def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, specials: bool = False) -> None:
     """Writes the ids of all texts in ascending doc_id order (nulls first; equal ids in the order read).
 
-    A null text is empty; every document ends with end_id. A range exchange on doc_id brings documents in order; no
+    A null text is empty; every document ends with end_id. Strings of special tokens are ordinary text, or with
+    `specials` the tokens themselves. A range exchange on doc_id brings documents in order; no
     task holds more than a partition, in slices. The files are written by Spark, so a lost task is written again.
     """
     ordered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_rv_at"))
     ordered = ordered.repartitionByRange("doc_id", "_rv_at").sortWithinPartitions("doc_id", "_rv_at")
-    ordered.select("doc_id", "text").mapInArrow(_encoder(vocabulary, end_id, block_ids), FILE_DDL).write.parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(_encoder(vocabulary, end_id, block_ids, specials), FILE_DDL).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -160,5 +163,5 @@ def op7_encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), specials=True)  # the tokenizer as loaded
     return read_ids(spark, path)

@@ -98,6 +98,42 @@ def test_pieces_hold_every_id_once_in_full_windows(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), BYTES).count() == 0
 
 
+LONG = [" " * 2_000_000, "\n" * 2_000_000, "a" * 300_000, "x " * 400_000 + "  y"]
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "<|EndOfText|> z", "  <|endoftext|>\n\n", "plain"]
+
+
+def test_queries_take_the_tokenizer_as_loaded(spark, tmp_path):
+    """Very long runs, and strings of special tokens, against a tokenizer on which nothing was set."""
+    rows = list(enumerate([*SPECIAL, *LONG, *ODD]))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def loaded(path, text, end):
+        return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
+
+    start = 0
+    found = {r["doc_id"]: r for r in simple8b.op7_encode_ids(spark, str(tmp_path)).collect()}
+    for key, text in rows:
+        ids, r = loaded(WORDS, text, 2), found[key]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), crc(ids)), text and text[:30]
+        start += len(ids)
+    pieces = {}
+    for r in packing.op8_pack_documents(spark, str(tmp_path)).collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for key, text in rows:
+        ids, at = loaded(BYTES, text, 0), 0
+        for r in sorted(pieces[key], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == crc(ids[at : at + r["length"]])
+            at += r["length"]
+        assert at == len(ids)
+
+
+def test_the_rule_closes_most_windows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    found = packing.pack_documents(docs, BYTES).select("sequence_id", "closed").distinct().groupBy("closed").count().collect()
+    n = {r["closed"]: r["count"] for r in found}
+    assert n["rule"] > 0.9 * (n["rule"] + n["cut"]) and sum(n.values()) > 9_000
+
+
 def test_sum_of_squares_chooses_the_best_level():
     rng = np.random.default_rng(2)
     packer = packing.SumOfSquares(16)
