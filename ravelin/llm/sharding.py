@@ -1,10 +1,9 @@
 """Uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-Rows are dealt over source buckets. The driver draws how many rows each bucket sends to each shard (a multivariate
-hypergeometric draw per bucket, so row and column sums are exact). Every bucket ranks its rows in random order and
-cuts that order at the drawn counts; the rows are exchanged and every shard permutes what it got. Each permutation
-of the rows over the slots is equally likely, up to the hash that stands for random numbers, and shard sizes differ
-by one at most.
+Every task permutes its rows and writes them. The driver draws how many rows each written part sends to each shard (a
+multivariate hypergeometric draw per part, so row and column sums are exact); a part's order is cut at the drawn counts,
+the rows are exchanged, and every shard permutes what it got. Each permutation of the rows over the slots is equally
+likely, up to the hash that stands for random numbers, and shard sizes differ by one at most.
 """
 
 from __future__ import annotations
@@ -12,68 +11,77 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ravelin.llm.common import local_rows, mix_hash, numbered, stash, table
 
-MAX_BUCKETS = 65_536  # bounds the matrix: 8 shards take 4 MB of counts
-EXACT = 10**9  # numpy's hypergeometric generator takes populations below this
-
-
-def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """How many of n rows go to each shard, of which left[i] slots are free."""
-    total, out = int(left.sum()), np.zeros(len(left), dtype=np.int64)
-    for i, free in enumerate(left.tolist()):
-        rest = total - free
-        low, high = max(0, n - rest), min(n, free)
-        if low == high:
-            k = low
-        elif total < EXACT:
-            k = int(rng.hypergeometric(free, rest, n))
-        else:  # the normal limit; sums stay exact
-            p = free / total
-            k = min(max(round(rng.normal(n * p, (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5)), low), high)
-        out[i] = k
-        n, total = n - k, rest
-    return out
+MAX_PARTS = 65_536  # tasks of the first permutation; bounds the matrix: 8 shards take 4 MB of counts
+NUMPY_MOST = 10**9  # numpy's generator takes populations below this; the draw from larger ones is by inversion
+
+
+def hypergeometric(rng: np.random.Generator, free: int, rest: int, n: int) -> int:
+    """How many of n rows drawn from free + rest are of the first kind."""
+    low, high = max(0, n - rest), min(n, free)
+    if low == high:
+        return low
+    if free + rest < NUMPY_MOST:
+        return int(rng.hypergeometric(free, rest, n))
+    return _by_inversion(rng, free, rest, n, low, high)
+
+
+def _by_inversion(rng: np.random.Generator, free: int, rest: int, n: int, low: int, high: int) -> int:
+    """The law itself, from the ratios of neighbouring probabilities; what lies 14 deviations from its mode weighs less
+    than a double can tell."""
+    total = free + rest
+    share = free / total
+    mode = min(max((n + 1) * (free + 1) // (total + 2), low), high)
+    reach = 60 + int(14 * (n * share * (1 - share) * (total - n) / max(1, total - 1)) ** 0.5)
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.float64)
+    steps = np.log((free - k[:-1]) / (k[:-1] + 1)) + np.log((n - k[:-1]) / (rest - n + k[:-1] + 1))
+    log = np.concatenate([[0.0], np.cumsum(steps)])
+    upto = np.cumsum(np.exp(log - log.max()))
+    return int(k[np.searchsorted(upto, rng.random() * upto[-1], side="right").clip(0, len(k) - 1)])
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
-    """Rows that each bucket sends to each shard. Shard sizes: sum(counts) // shards, one more for the first ones."""
+    """Rows that each part sends to each shard. Shard sizes: sum(counts) // shards, one more for the first ones."""
     total, rng = sum(counts), np.random.default_rng(seed)
-    left = np.array([total // shards + (i < total % shards) for i in range(shards)], dtype=np.int64)
+    left = [total // shards + (i < total % shards) for i in range(shards)]
     out = []
     for n in counts:
-        row = _draw(rng, left, n)
-        left -= row
-        out.append(row.tolist())
+        rest, row = sum(left), []
+        for i, free in enumerate(left):
+            rest -= free
+            row.append(hypergeometric(rng, free, rest, n))
+            n -= row[i]
+            left[i] -= row[i]
+        out.append(row)
     return out
 
 
-def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 20_001, rows_per_bucket: int = 1_000) -> DataFrame:
+def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 20_001, rows_per_piece: int = 8_000) -> DataFrame:
     """df with `shard` int and `slot` long (gapless from 0 in each shard).
 
     Nulls, repeated rows and ties need no care: rows are told apart by their position in a written copy of df. An
     empty df gives an empty result. Columns named shard or slot in df are replaced; all others are kept.
     """
     spark = df.sparkSession
-    rows = stash(df.drop("shard", "slot").withColumn("_rv_at", F.monotonically_increasing_id()), "shards")
-    total = rows.count()
-    buckets = max(1, min(MAX_BUCKETS, -(-total // rows_per_bucket)))
-    rows = rows.withColumn("_rv_b", F.pmod(mix_hash(seed, "_rv_at"), F.lit(buckets)).cast("int"))
-    found = {r["_rv_b"]: r["n"] for r in rows.groupBy("_rv_b").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_BUCKETS
+    at = F.monotonically_increasing_id()  # the task in the upper bits, the position in the lower 33
+    placed = df.drop("shard", "slot").coalesce(MAX_PARTS).withColumn("_rv_at", at)
+    rows = stash(placed.sortWithinPartitions(mix_hash(seed, "_rv_at"), "_rv_at").withColumn("_rv_at", at), "shards")
+    part = F.shiftright("_rv_at", 33)
+    found = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_PARTS
     names = sorted(found)
     ends = np.cumsum(np.array(communication_matrix([found[b] for b in names], shards, seed), dtype=np.int64).reshape(-1, shards), axis=1)
-    matrix = local_rows(spark, [{"_rv_mb": b, "_rv_ends": e} for b, e in zip(names, ends.tolist(), strict=True)], "_rv_mb int, _rv_ends array<bigint>")
-    rank = F.row_number().over(Window.partitionBy("_rv_b").orderBy(mix_hash(seed + 1, "_rv_at"), "_rv_at"))
+    matrix = local_rows(spark, [{"_rv_p": b, "_rv_ends": e} for b, e in zip(names, ends.tolist(), strict=True)], "_rv_p long, _rv_ends array<bigint>")
+    place = F.col("_rv_at").bitwiseAND(F.lit((1 << 33) - 1))
     dealt = (
-        rows.withColumn("_rv_r", rank)
-        .join(F.broadcast(matrix), F.col("_rv_b") == F.col("_rv_mb"))  # MAX_BUCKETS * shards counts at most
-        .withColumn("shard", F.size(F.filter("_rv_ends", lambda e: e < F.col("_rv_r"))))
+        rows.join(F.broadcast(matrix), part == F.col("_rv_p"))  # MAX_PARTS * shards counts at most
+        .withColumn("shard", F.size(F.filter("_rv_ends", lambda e: e <= place)))
         .withColumn("_rv_h", mix_hash(seed + 2, "_rv_at"))
+        .drop("_rv_p", "_rv_ends")
     )
-    pieces = max(1, -(-buckets // shards))
-    return numbered(dealt, ["shard"], [F.col("_rv_h"), F.col("_rv_at")], F.pmod(F.shiftright("_rv_h", 16), F.lit(pieces)).cast("int"), "slot").drop("_rv_at", "_rv_b", "_rv_r", "_rv_mb", "_rv_ends", "_rv_h")
+    pieces = 1 + sum(found.values()) // (shards * rows_per_piece)
+    return numbered(dealt, ["shard"], [F.col("_rv_h"), F.col("_rv_at")], F.pmod(F.shiftright("_rv_h", 16), F.lit(pieces)).cast("int"), "slot").drop("_rv_at", "_rv_h")
 
 
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def some_docs():
 
 def test_shards_are_equal_and_slots_gapless(spark):
     rows = some_docs()
-    found = sharding.shuffle_to_shards(docs(spark, rows), shards=8, rows_per_bucket=7).collect()
+    found = sharding.shuffle_to_shards(docs(spark, rows).repartition(5), shards=8, rows_per_piece=7).collect()
     assert sorted((r["doc_id"] or -1, r["text"] or "", r["source"] or "") for r in found) == sorted((k or -1, t or "", s or "") for k, t, s in rows)
     slots = {s: sorted(r["slot"] for r in found if r["shard"] == s) for s in range(8)}
     assert all(x == list(range(len(x))) for x in slots.values()) and {len(x) for x in slots.values()} <= {len(rows) // 8, len(rows) // 8 + 1}
@@ -50,6 +50,33 @@ def test_communication_matrix_has_exact_sums_and_fair_counts():
     assert np.abs(total[2] / 200 - 250).max() < 5
 
 
+def test_draws_from_large_populations_follow_the_law():
+    """By inversion as by numpy: the same means and deviations; exact sums where numpy takes no population."""
+    for free, rest, n in ((40, 60, 30), (5_000, 995_000, 2_000), (3, 900, 450)):
+        own, far = (np.array([f(np.random.default_rng(i)) for i in range(4_000)]) for f in (
+            lambda g: sharding._by_inversion(g, free, rest, n, max(0, n - rest), min(n, free)), lambda g: g.hypergeometric(free, rest, n)))
+        spread = (n * free / (free + rest) * rest / (free + rest)) ** 0.5
+        assert abs(own.mean() - far.mean()) < 0.1 * spread and abs(own.std() - far.std()) < 0.07 * spread
+    counts = [10**10, 7, 3 * 10**9 + 1, 0, 10**6]
+    m = np.array(sharding.communication_matrix(counts, 8, 1))
+    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and (m >= 0).all()
+    assert np.abs(m[0] - 10**10 / 8).max() < 6 * (10**10 / 8) ** 0.5
+
+
+def test_op1_against_its_law(spark, tmp_path):
+    rows = some_docs()
+    docs(spark, rows).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sharding.op1_shard_documents(spark, str(tmp_path)).collect()
+    own = lambda k, t: (k or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in found) == sorted(own(k, t) for k, t, _ in rows)
+    assert {(r["law"], r["grown_shard"]) for r in found} == {("rows", None)}
+    sizes = [sum(r["shard"] == s for r in found) for s in range(8)]
+    assert sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 1
+    assert all(sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sizes[s])) for s in range(8))
+    again = sharding.op1_shard_documents(spark, str(tmp_path)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
 # Mixing
 
 
