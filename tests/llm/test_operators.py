@@ -104,6 +104,52 @@ def test_mixing_keeps_every_row_in_a_slot_of_its_own(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
 
 
+def lags(found, weights, default, block_rows):
+    """The largest distance of any source from its share of the slots so far, until its last block."""
+    weight = lambda s: weights.get(s, default)
+    total, worst = sum(weight(s) for s in {r["source"] for r in found}), 0
+    slots = {}
+    for r in found:
+        slots.setdefault(r["source"], {})[r["block"]] = r["slot"]
+        assert r["weight"] == weight(r["source"])
+    for s, own in slots.items():
+        assert sorted(own) == list(range(len(own)))
+        for j in range(len(own)):  # before its slot block j is missing, behind it it is there
+            share = weight(s) / total
+            worst = max(worst, share * own[j] - j, j + 1 - share * (own[j] + 1))
+    assert len({(r["slot"], r["place"]) for r in found}) == len(found)
+    taken = {}
+    for r in found:
+        assert taken.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"]) and 0 <= r["place"] < block_rows
+    return worst
+
+
+@pytest.mark.parametrize(("weights", "default"), [({"s0": 999_999, "s1": 2}, 1), ({"s0": 700_001, "s1": 400_003, "s2": 7}, 13), ({"s0": 40, "s1": 3}, 1)])
+def test_any_weights_are_kept_within_a_block(spark, monkeypatch, weights, default):
+    monkeypatch.setattr(mixing, "CHUNK_SLOTS", 20 if sum(weights.values()) < 100 else 400_000)
+    rows = [(i, "t", f"s{min(i % 31, (i * i) % 7)}") for i in range(1_500)]
+    found = mixing.mix_sources(docs(spark, rows).repartition(5), weights, default, block_rows=2).collect()
+    assert len(found) == len(rows) and lags(found, weights, default, 2) < 1
+
+
+def test_thousands_of_sources_of_equal_weight(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE_SOURCES", 500)
+    rows = [(i, "t", f"s{i % 3_000}") for i in range(9_000)]
+    found = mixing.mix_sources(docs(spark, rows).repartition(3), {"s0": 5, "s7": 900}, 1, block_rows=1).collect()
+    assert len(found) == len(rows) and lags(found, {"s0": 5, "s7": 900}, 1, 1) < 1
+
+
+def test_the_schedule_is_the_earliest_deadline_first():
+    """Against a search over all blocks in every slot."""
+    for weights in ([4, 3, 2], [1, 1, 8, 3], [7]):
+        total, done, want = sum(weights), [0] * len(weights), []
+        for t in range(total):
+            ready = [(-(-(done[i] + 1) * total // w), i) for i, w in enumerate(weights) if done[i] < w and done[i] * total // w <= t]
+            want.append(min(ready)[1])
+            done[want[-1]] += 1
+        assert mixing.period(weights) == want
+
+
 # SimHash
 
 
