@@ -11,11 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import table, text_slices
+from ravelin.llm.common import stash, table, text_slices
 from ravelin.llm.linear import logistic_fit, sigmoid
 
-SAMPLE = 3_000  # labelled texts of each kind, at most
-SAMPLE_CHARS = 6_000  # of a text that the fit uses (scoring uses whole texts)
+SAMPLE = 3_000  # labelled texts of each kind, at most; they are used whole
+DICT_PIECES, DICT_CHARS = 4_500, 2_000  # pieces, drawn from all over these texts, that a dictionary is trained on
 DICT_BYTES, PIECE, LEVEL, THRESHOLD = 65_536, 4_096, 1, 0.3
 
 
@@ -24,15 +24,15 @@ def held_out(n: int, doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % n == 0, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, most: int, chars: int) -> list[tuple[str, int]]:
-    """At most `most` labelled texts of each kind, outside the held-out rows, chosen by a hash of doc_id."""
-    marks = labels.select(F.col("doc_id").alias("_l"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(n, "_l")).groupBy("_l").agg(F.max("y").alias("y"))
-    out = []
-    for y in (0, 1):  # the ids first: narrow rows decide which texts are read
-        ids = marks.where(F.col("y") == y).orderBy(F.xxhash64("_l"), "_l").limit(most)
-        found = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_l"))
-        out += [(r["doc_id"], r["text"], y) for r in found.select("doc_id", "text").collect()]
-    return [(text, y) for _, text, y in sorted(out, key=lambda r: (r[0], r[2], r[1]))]
+def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, most: int) -> DataFrame:
+    """doc_id, text, y of at most `most` labelled texts of each kind, outside the held-out rows, chosen by a hash of
+    doc_id; whole texts, in the shared folder. Of texts with one id the first in order counts, so repeats add nothing.
+    """
+    marks = labels.select(F.col("doc_id").alias("_l"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(n, "_l")).groupBy("_l").agg(F.max("y").cast("int").alias("y"))
+    kind = lambda y: marks.where(F.col("y") == y).orderBy(F.xxhash64("_l"), "_l").limit(most)
+    ids = F.broadcast(kind(0).unionByName(kind(1)))  # 2 * most rows at most
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("_l"))
+    return stash(found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"), F.max("y").alias("y")), "labelled")
 
 
 class Compressors:
@@ -61,26 +61,53 @@ class Compressors:
         return [10 * gap, 10 * abs(gap), 10 * worst, plain / size, good / size, min(1.0, 100 / size)]
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def _pieces(batches):
+    """Each whole text in pieces, with a hash that draws some of them."""
+    import pyarrow as pa
+    import xxhash
+
+    for batch in batches:
+        for doc, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            own = [text[i : i + DICT_CHARS].encode() for i in range(0, len(text), DICT_CHARS)]
+            at = [xxhash.xxh64_intdigest(f"{doc} {i}") >> 1 for i in range(len(own))]
+            yield pa.RecordBatch.from_arrays([pa.array([y] * len(own), pa.int32()), pa.array(at, pa.int64()), pa.array(own, pa.binary())], names=["y", "at", "piece"])
+
+
+def _dictionary(pieces: DataFrame, y: int) -> bytes:
     """Trained on pieces of texts; where there are too few to train on, their text itself."""
     import zstandard
 
-    pieces = [t[i : i + 2000].encode() for t in texts for i in range(0, len(t), 2000)]
+    own = [bytes(r["piece"]) for r in pieces.where(F.col("y") == y).orderBy("at", "piece").limit(DICT_PIECES).collect()]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, pieces, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, own, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[-DICT_BYTES:]
+        return b"".join(own)[-DICT_BYTES:]
+
+
+def _features(good: bytes, bad: bytes):
+    def run(batches):
+        import pyarrow as pa
+
+        c = Compressors(good, bad)
+        for batch in batches:
+            x = [c.features(t) for _, texts in text_slices([batch], 0, 1) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+
+    return run
 
 
-def fit(rows: list[tuple[str, int]]) -> tuple[bytes, bytes, np.ndarray]:
-    """Both dictionaries from half of the rows, the calibration from the other half, each text weighted by its kind's share."""
-    half = [r for i, r in enumerate(rows) if i % 2 == 0]
-    rest = [r for i, r in enumerate(rows) if i % 2] or half
-    good, bad = (_dictionary([t for t, y in half if y == k]) for k in (1, 0))
-    if not rows:
-        return good, bad, np.zeros(7)
-    c = Compressors(good, bad)
-    return good, bad, logistic_fit(np.array([c.features(t) for t, _ in rest]), np.array([y for _, y in rest]))
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray]:
+    """Both dictionaries from half of the labelled texts, the calibration from the other half, each text weighted by its
+    kind's share. Texts stay on the executors: the driver gets pieces for the dictionaries, and numbers."""
+    rows = labelled(docs, labels, "quality", 5, SAMPLE)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    pieces = rows.where(half).mapInArrow(_pieces, "y int, at long, piece binary")
+    good, bad = (_dictionary(pieces, y) for y in (1, 0))
+    for own in (~half, F.lit(True)):  # all of them where the other half has none
+        found = sorted(rows.where(own).mapInArrow(_features(good, bad), "doc_id long, y int, x array<double>").collect())
+        if found:
+            return good, bad, logistic_fit(np.array([r["x"] for r in found]), np.array([r["y"] for r in found]))
+    return good, bad, np.zeros(7)
 
 
 def _scorer(good: bytes, bad: bytes, weights: np.ndarray):
@@ -109,17 +136,17 @@ def _filter(good: bytes, bad: bytes, weights: np.ndarray, at: int):
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text quality_scores() would predict as 1."""
-    model = fit(labelled(docs, labels, "quality", 5, SAMPLE, SAMPLE_CHARS))
+    model = fit(docs, labels)
     return docs.mapInArrow(_filter(*model, docs.columns.index("text")), docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on).
 
-    Fitted on at most SAMPLE labelled texts of each kind outside the held-out fifth. Null and empty texts get the score
+    Fitted on at most SAMPLE whole labelled texts of each kind outside the held-out fifth. Null and empty texts get the score
     of a text without bytes. Without labels every score is 0.5. Rows with equal doc_ids are scored one by one.
     """
-    model = fit(labelled(docs, labels, "quality", 5, SAMPLE, SAMPLE_CHARS))
+    model = fit(docs, labels)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(*model), "doc_id long, score double")
     return scored.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

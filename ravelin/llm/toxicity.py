@@ -19,7 +19,7 @@ from ravelin.llm.common import table, text_slices
 from ravelin.llm.linear import Rows, sigmoid, sparse_fit
 from ravelin.llm.quality import labelled
 
-SAMPLE, SAMPLE_CHARS = 3_000, 30_000  # labelled texts of each kind at most, and characters of each that the fit uses
+SAMPLE = 3_000  # labelled texts of each kind, at most; they are used whole
 SPACE = 1 << 22  # feature numbers
 FEATURES, LEAST_Z, LEAST_DOCS, LEAST_SHARE = 2_000, 7.0, 4, 0.02  # a feature is in so many documents, and in so large a share of one kind
 CATEGORIES, FOLDS, RIDGE = 3, 5, 0.005
@@ -63,17 +63,48 @@ class Chain:
         return out if self.links else np.zeros((x.n, CATEGORIES + 1))
 
 
-def _select(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The features whose share differs most between the kinds, in standard errors."""
-    a, b = np.zeros(SPACE), np.zeros(SPACE)
-    for (own, _), k in zip(found, y.tolist(), strict=True):
-        (a if k else b)[own] += 1
-    na, nb = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    p = (a + b + 1) / (na + nb + 2)
-    z = np.abs(a / na - b / nb) / np.sqrt(p * (1 - p) * (1 / na + 1 / nb))
-    z[(a + b < LEAST_DOCS) | (np.maximum(a / na, b / nb) < LEAST_SHARE)] = 0  # what only a few copies share says nothing
+def _occurrences(batches):
+    """The number of texts of each kind that have a feature."""
+    import pyarrow as pa
+
+    for batch in batches:
+        n = {}
+        for y, text in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n.setdefault(y, Counter()).update(text_features(text)[0].tolist())
+        for y, own in n.items():
+            yield pa.RecordBatch.from_arrays([pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["y", "f", "n"])
+
+
+def _select(f: np.ndarray, a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """The features whose share differs most between the kinds, in standard errors. f: features in order, of which a
+    toxic and b clean texts have one."""
+    share_a, share_b = a / toxic, b / clean
+    p = (a + b + 1) / (toxic + clean + 2)
+    z = np.abs(share_a - share_b) / np.sqrt(p * (1 - p) * (1 / toxic + 1 / clean))
+    z[(a + b < LEAST_DOCS) | (np.maximum(share_a, share_b) < LEAST_SHARE)] = 0  # what only a few copies share says nothing
     best = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(best[z[best] >= LEAST_Z])
+    return np.sort(f[best[z[best] >= LEAST_Z]])
+
+
+def _counted(rows: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """f, a and b of _select, without those that it leaves out for their small shares: as each text has its words only,
+    1 / LEAST_SHARE times as many as a mean text of each kind has."""
+    kind = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    n = rows.mapInArrow(_occurrences, "y int, f long, n long").groupBy("f").agg(kind(1).alias("a"), kind(0).alias("b"))
+    some = n.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.greatest(F.col("a") / toxic, F.col("b") / clean) >= LEAST_SHARE))
+    found = np.array(sorted(map(tuple, some.select("f", "a", "b").collect())), dtype=np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1].astype(np.float64), found[:, 2].astype(np.float64)
+
+
+def _places(vocabulary: np.ndarray):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = [places(text_features(t), vocabulary) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in own], pa.list_(pa.int64())), pa.array([m for _, m in own], pa.list_(pa.float64()))], names=["doc_id", "y", "at", "much"])
+
+    return run
 
 
 def _clusters(m: np.ndarray, k: int) -> np.ndarray:
@@ -104,12 +135,32 @@ def places(found: tuple[np.ndarray, np.ndarray], vocabulary: np.ndarray) -> tupl
 
 
 def fit(rows: list[tuple[str, int]]) -> Chain:
+    """The chain of a few texts that are here."""
     y = np.array([k for _, k in rows], dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Chain()
     found = [text_features(t) for t, _ in rows]
-    vocabulary = _select(found, y)
-    found = [places(own, vocabulary) for own in found]
+    n = [Counter(f for (own, _), k in zip(found, y.tolist(), strict=True) if k == kind for f in own.tolist()) for kind in (1, 0)]
+    f = np.array(sorted({*n[0], *n[1]}), dtype=np.int64)
+    a, b = (np.array([c[i] for i in f.tolist()], dtype=np.float64) for c in n)
+    vocabulary = _select(f, a, b, int(y.sum()), int((1 - y).sum()))
+    return _chain(vocabulary, [places(own, vocabulary) for own in found], y)
+
+
+def fit_on(docs: DataFrame, labels: DataFrame) -> Chain:
+    """The chain of labelled documents. Texts stay on the executors: the driver gets counts of features, and each sampled
+    text's part in the vocabulary."""
+    rows = labelled(docs, labels, "toxic", 5, SAMPLE)
+    kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(kinds) < 2:
+        return Chain()
+    vocabulary = _select(*_counted(rows, kinds[1], kinds[0]), kinds[1], kinds[0])
+    sample = sorted(rows.mapInArrow(_places(vocabulary), "doc_id long, y int, at array<long>, much array<double>").collect())
+    return _chain(vocabulary, [(np.array(r["at"], dtype=np.int64), np.array(r["much"], dtype=np.float64)) for r in sample], np.array([r["y"] for r in sample], dtype=np.int64))
+
+
+def _chain(vocabulary: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Chain:
+    """Of texts given by their places in the vocabulary."""
     size, toxic = 2 * len(vocabulary), np.flatnonzero(y)
     dense = np.zeros((len(toxic), max(1, len(vocabulary))))
     for i, j in enumerate(toxic.tolist()):
@@ -180,17 +231,17 @@ def _filter(chain: Chain, at: int):
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text toxicity_scores() would not call toxic."""
-    chain = fit(labelled(docs, labels, "toxic", 5, SAMPLE, SAMPLE_CHARS))
+    chain = fit_on(docs, labels)
     return docs.mapInArrow(_filter(chain, docs.columns.index("text")), docs.schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_kind1.., p_toxic (the end of the chain), toxic (1 from the chain's threshold on).
 
-    Fitted on at most SAMPLE labelled texts of each kind, none of them in the held-out fifth (see quality.held_out).
+    Fitted on at most SAMPLE whole labelled texts of each kind, none of them in the held-out fifth (see quality.held_out).
     Null and empty texts, and those of white space, get 0 throughout. Labels of one kind only: every probability is 0.
     """
-    chain = fit(labelled(docs, labels, "toxic", 5, SAMPLE, SAMPLE_CHARS))
+    chain = fit_on(docs, labels)
     kind = "doc_id long, " + "".join(f"p_kind{i + 1} double, " for i in range(CATEGORIES)) + "p_toxic double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(chain), kind).withColumn("toxic", (F.col("p_toxic") >= chain.threshold).cast("int"))
 

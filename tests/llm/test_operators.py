@@ -323,3 +323,47 @@ def test_later_links_see_earlier_probabilities():
     assert {f for f in chain.vocabulary.tolist()} >= {words("stupid")[0].tolist()[0]}
     p = toxicity.probabilities(chain, ["stupid alpha eta", "alpha eta gamma", "", "STUPID!"])
     assert p[0, -1] > 0.5 > p[1, -1] and p[3, -1] > 0.5 > p[2, -1]
+
+
+def late_docs(spark, bad_part):
+    """Texts of over 40,000 characters; what tells the kinds apart comes behind all that."""
+    rows, labels = [], []
+    for i in range(160):
+        bad = i % 2 == 0
+        rows.append((i, sentence(7_000) + " " + (bad_part if bad else "calm and useful prose about gardens ") * 150, "a"))
+        labels.append((i, int(not bad), int(bad)))
+    return docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_the_end_of_long_texts_counts_for_both_classifiers(spark):
+    d, labels = late_docs(spark, "buy cheap pills now !!! ")
+    found = {r["doc_id"]: r for r in quality.quality_scores(d, labels).collect()}
+    assert sum(r["predicted"] == k % 2 for k, r in found.items() if r["held_out"]) >= 0.9 * sum(r["held_out"] for r in found.values())
+    d, labels = late_docs(spark, "stupid filthy idiots ")
+    found = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity_scores(d, labels).collect()}
+    assert all(v == int(k % 2 == 0) for k, v in found.items())
+
+
+def test_the_distributed_fit_equals_that_of_the_same_texts(spark):
+    d, labels, _ = labelled_docs(spark)
+    rows = sorted(map(tuple, quality.labelled(d, labels, "toxic", 5, 3_000).collect()))
+    assert len({k for k, _, _ in rows}) == len(rows) and all(zlib.crc32(str(k).encode()) % 5 for k, _, _ in rows)
+    own, far = toxicity.fit([(t, y) for _, t, y in rows]), toxicity.fit_on(d, labels)
+    assert own.vocabulary.tolist() == far.vocabulary.tolist() and own.threshold == far.threshold
+    assert all(np.array_equal(a, b) for a, b in zip(own.links, far.links, strict=True))
+    found = {r["doc_id"]: r["p_toxic"] for r in toxicity.toxicity_scores(d.where("doc_id < 40"), labels).collect()}
+    # the chain, link by link, on one text at a time
+    few = toxicity.fit([(t, y) for k, t, y in rows if k < 40])
+    size = 2 * len(few.vocabulary)
+    for k, text in ((r["doc_id"], r["text"]) for r in d.where("doc_id < 40").collect()):
+        before = []
+        at, much = toxicity.places(toxicity.text_features(text), few.vocabulary)
+        for w in few.links:
+            z = w[at].sum() + (w[at + len(few.vocabulary)] * much).sum() + sum(a * b for a, b in zip(w[size:], [*before, 1.0], strict=True))
+            before.append(1 / (1 + np.exp(-z)))
+        assert abs(found[k] - before[-1]) < 1e-9
+    good, bad, weights = quality.fit(d, labels)
+    c = quality.Compressors(good, bad)
+    scores = {r["doc_id"]: r["score"] for r in quality.quality_scores(d, labels).collect()}
+    for r in d.where("doc_id < 30").collect():
+        assert abs(scores[r["doc_id"]] - 1 / (1 + np.exp(-(np.array(c.features(r["text"])) @ weights[:-1] + weights[-1])))) < 1e-9
