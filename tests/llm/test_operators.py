@@ -270,6 +270,47 @@ def test_nearest_vectors_reach_the_recall(spark, monkeypatch, per_part):
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2)]
 
 
+def brute_nearest(rows, every=50):
+    """(query row, [(score, vec_id)]) over every row but the query's own."""
+    x = [(k, np.array(v, dtype=np.float64)) for k, v in rows]
+    cosine = lambda a, b: (a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))
+    for i, (k, q) in enumerate(x):
+        if k % every == 0:
+            yield k, sorted(((-cosine(q, y), j) for m, (j, y) in enumerate(x) if m != i and len(y) == len(q)))[:5]
+
+
+def test_repeated_ids_and_mixed_lengths(spark):
+    g = np.random.default_rng(9)
+    rows = [(i % 25 * 10, g.standard_normal(2 if i % 3 else 3).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(50, [1.0, 0.5]), (50, [1.0, 0.5]), (100, [1.0] * 4), (200, [2.0] * 5), (201, [1.0] * 5), *[(300 + i, [3.0, 4.0]) for i in range(20)]]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
+    want = sorted((k, r, j, round(-s, 9)) for k, own in brute_nearest(rows) for r, (s, j) in enumerate(own, 1))
+    assert sum(r["query_id"] == 50 for r in found) == 5 * sum(k == 50 for k, _ in rows)
+    assert len(found) == len(want)
+    hits = len({(q, j) for q, _, j, _ in want} & {(r["query_id"], r["vec_id"]) for r in found})
+    assert hits >= 0.9 * len({(q, j) for q, _, j, _ in want})
+    twins = [r for r in found if r["query_id"] == 50 and r["rank"] == 1]
+    assert sum(r["vec_id"] == 50 and abs(r["score"] - 1) < 1e-12 for r in twins) >= 2
+
+
+def test_parts_of_parts(spark, monkeypatch):
+    """A table that is partitioned three times."""
+    monkeypatch.setattr(ann, "ROWS_PER_PART", 20)
+    monkeypatch.setattr(ann, "MOST_PARTS", 4)
+    monkeypatch.setattr(ann, "ROUTED", 100)
+    rows = [(k, v) for k, v, *_ in near_vectors(2_000, 0.4)] + [(5_000 + i, [1.0] * 32) for i in range(300)]
+    assert ann.levels_of(len(rows)) == 3
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    cells = {r["cell"]: r["n"] for r in ann.index(data).where("not asks").groupBy("cell").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert len(cells) > 30 and sum(cells.values()) == len(rows)
+    found = {}
+    for r in ann.nearest(data).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {k: own for k, own in brute_nearest(rows[:2_000])}
+    assert sum(len({j for _, j in own} & found[k]) for k, own in want.items()) >= 0.9 * 5 * len(want)
+    assert found[5_000] == {5_001, 5_002, 5_003, 5_004, 5_005} and found[5_100] == {5_000, 5_001, 5_002, 5_003, 5_004}
+
+
 # Classifiers
 
 
