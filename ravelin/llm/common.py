@@ -60,6 +60,12 @@ def drop_stash(df: DataFrame) -> None:
             _written.remove(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
+    if path in _written:
+        _written.remove(path)
+
+
 def mark() -> int:
     """For release(): what is written from here on."""
     return len(_written)

@@ -1,8 +1,10 @@
-"""Near-duplicates by content: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more are linked.
+"""The near-duplicate stage: SimHash candidates, and those that fingerprints can't show, verified exactly.
 
-Texts with equal sets are one class. Classes that agree in a band of MinHash values are candidates (a pair at 0.8 is
-missed with probability 0.0004); each connected lot of candidates is searched breadth-first with the exact similarity,
-in tiles of bounded size, so that a group of thousands of near copies never turns into all its pairs.
+Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked. Candidates are those that
+SimHash links (see simhash.py). Few pairs at 0.8 differ in as few bits, so classes that agree in a band of MinHash values
+are candidates too (a pair at 0.8 is missed with probability 0.0004). Texts with equal sets are one class. Each connected
+lot of candidates is searched breadth-first with the exact similarity, in tiles of bounded size, so that a group of
+thousands of near copies never turns into all its pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.common import stash, text_slices
 from ravelin.llm.components import components
+from ravelin.llm.simhash import fingerprint, near_links
 from ravelin.llm.tokens import gather
 
 SHINGLE, BANDS, ROWS, SEED = 5, 20, 5, 42
@@ -50,15 +53,22 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(low.reshape(BANDS, ROWS))]
 
 
+MARKED = "doc_id long, th long, fp long, key binary, n long, bands array<long>"
+
+
 def _signatures(shingle: int):
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        for docs, texts in text_slices(batches, 0, 1):
-            sets = [shingles(x, shingle) for x in texts]
-            columns = [pa.array(docs, type=pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], type=pa.binary()), pa.array([len(x) for x in sets], type=pa.int64()), pa.array([bands(x) for x in sets], type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "bands"])
+        for batch in batches:
+            at = 0
+            for docs, texts in text_slices([batch], 0, 2):
+                sets = [shingles(x, shingle) for x in texts]
+                prints = np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64)
+                columns = [pa.array(docs, type=pa.int64()), batch.column(1).slice(at, len(docs)), pa.array(prints), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], type=pa.binary()), pa.array([len(x) for x in sets], type=pa.int64()), pa.array([bands(x) for x in sets], type=pa.list_(pa.int64()))]
+                at += len(docs)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "fp", "key", "n", "bands"])
 
     return run
 
@@ -110,29 +120,44 @@ def _forest(tenths: int):
     return run
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, tenths: int = 8) -> DataFrame:
-    """doc_id, component_id of the smallest doc_id of each class: the smallest one reachable over links of similarity
-    tenths / 10 or more. Texts without words are one class; a null doc_id has no part."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    marked = stash(texts.mapInArrow(_signatures(shingle), "doc_id long, key binary, n long, bands array<long>"), "signatures")
-    classes = stash(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).drop("key"), "classes")
-    keyed = classes.select("rep", F.explode("bands").alias("band"))
-    low = keyed.groupBy("band").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("band").alias("own"), "low")
-    lots = components(keyed.join(low, F.col("band") == F.col("own")).select("rep", "low"), "rep", "low")
-    members = stash(lots.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node").select("node", F.col("component").alias("lot"), "n"), "lots")
+def _similar(sets: DataFrame, near: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """a, b: links that connect what is connected by pairs of a similarity of tenths / 10 or more. sets: node, doc_id,
+    th, n, bands; near: further candidates a, b; texts: doc_id, th, text."""
+    keyed = sets.select("node", F.explode("bands").alias("band"))
+    low = keyed.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("band").alias("own"), "low")
+    pairs = keyed.join(low, F.col("band") == F.col("own")).select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(near)
+    lots = components(pairs, "a", "b").withColumnRenamed("node", "member")
+    members = stash(lots.join(sets, F.col("member") == F.col("node")).select("node", F.col("component").alias("lot"), "n", F.col("doc_id").alias("d"), F.col("th").alias("t")), "lots")
     tiles = members.groupBy(F.col("lot").alias("l")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    dealt = members.join(tiles, F.col("lot") == F.col("l")).select("node", "lot", "tiles")
-    known = texts.join(dealt, F.col("doc_id") == F.col("node")).select("doc_id", "text", "lot", "tiles")
-    sets = known.mapInArrow(_sets(shingle), "rep long, lot long, tiles int, hashes binary").withColumn("own", F.pmod(F.xxhash64("rep", "lot"), F.col("tiles")).cast("int"))
-    tiled = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("lot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "hashes")
-    links = tiled.where(F.length("hashes") > 0).groupBy("lot", "i", "j").applyInArrow(_forest(tenths), "a long, b long")
-    grouped = components(links, "a", "b")
-    reps = classes.select("rep").distinct()
-    return reps.join(grouped, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component_id"))
+    dealt = members.join(tiles, F.col("lot") == F.col("l")).select("node", "d", "t", "lot", "tiles")
+    one = texts.join(dealt, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t"))).groupBy("node", "lot", "tiles").agg(F.min("text").alias("text"))
+    known = one.select("node", "text", "lot", "tiles").mapInArrow(_sets(shingle), "rep long, lot long, tiles int, hashes binary").withColumn("own", F.pmod(F.xxhash64("rep", "lot"), F.col("tiles")).cast("int"))
+    tiled = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("lot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "hashes")
+    return tiled.where(F.length("hashes") > 0).groupBy("lot", "i", "j").applyInArrow(_forest(tenths), "a long, b long")
+
+
+def first_texts(docs: DataFrame, shingle: int = SHINGLE, tenths: int = 8) -> DataFrame:
+    """doc_id, th (xxhash64 of the text, '' for null) of the first text of each group: that with the smallest doc_id, and
+    of texts with that id the one with the smallest th. Texts without words are one group; a null doc_id has no part."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").where("doc_id is not null")
+    marked = texts.mapInArrow(_signatures(shingle), MARKED)
+    classes = marked.groupBy("key", "fp").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    least = lambda c: nodes.groupBy(F.col(c).alias("same")).agg(F.min("node").alias("low"))
+    alike = lambda c: nodes.join(least(c), F.col(c) == F.col("same")).where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    near = near_links(least("fp").select(F.col("same").alias("fp"), F.col("low").alias("rep"))).unionByName(alike("fp"))
+    links = _similar(nodes.select("node", "first.*", "n", "bands"), near, texts, shingle, tenths).unionByName(alike("key"))
+    named = components(links, "a", "b").withColumnRenamed("node", "m")
+    found = nodes.join(named, F.col("node") == F.col("m"), "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("first").alias("first"))
+    return stash(found.select("first.*"), "kept")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The row of docs with the smallest doc_id of each group; of rows with equal ids one. Rows without an id stay."""
-    kept = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_rv_kept"))
-    named = docs.join(kept, F.col("doc_id") == F.col("_rv_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """The row of docs with the first text of each group, see first_texts(). Of rows with that id and text one stays, chosen
+    by a hash of their other columns. Rows without an id stay."""
+    kept = first_texts(docs).select(F.col("doc_id").alias("_rv_d"), F.col("th").alias("_rv_t"))
+    rest = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    named = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_rv_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_rv_th"))
+    named = named.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in rest])).alias("_rv_row"))
+    named = named.join(kept, (F.col("_rv_id") == F.col("_rv_d")) & (F.col("_rv_th") == F.col("_rv_t")), "left_semi").select("_rv_row.*")
     return named.unionByName(docs.where("doc_id is null"))

@@ -108,9 +108,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The row of docs with the smallest doc_id of each group; of rows with equal ids one. Rows without an id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_rv_kept"))
-    named = docs.join(kept, F.col("doc_id") == F.col("_rv_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """The row of docs with the smallest doc_id of each group. Of several rows with that id one stays: the first by its text
+    and then by a hash of its columns. Rows without an id stay."""
+    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_rv_kept")).distinct()
+    rest = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_rv_id")).agg(F.min_by(F.struct(*every), F.struct("text", F.xxhash64(*rest))).alias("_rv_row"))
+    named = named.join(kept, F.col("_rv_id") == F.col("_rv_kept"), "left_semi").select("_rv_row.*")
     return named.unionByName(docs.where("doc_id is null"))
 
 
