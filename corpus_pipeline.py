@@ -7,11 +7,10 @@ folder and read again, so a later stage starts from files.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm.common import shared_dir, table
+from ravelin.llm.common import drop_path, mark, note_path, release, shared_dir, table
 from ravelin.llm.mixing import mix_sources
 from ravelin.llm.near import keep_first
 from ravelin.llm.packing import pack_documents
@@ -30,15 +29,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of 0.8 or more (sets of five words) the one with the smallest id stays."""
+    """Of texts linked by a Jaccard similarity of 0.8 or more (sets of five words) the one with the smallest id stays. SimHash
+    proposes the pairs, with bands of MinHash values for those whose fingerprints differ in more bits."""
     return keep_first(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, sorted by their slot in the Pfair schedule: every run of rows has the sources in target proportion,
-    as long as they last. The next stage packs the documents of a run together."""
-    mixed = mix_sources(docs)
-    return mixed.orderBy("slot", "place").select(docs.columns)
+    as long as they last. Each written file holds one run, and the runs follow each other in the order of the files'
+    names. The next stage packs the documents of a file, or of a part of one, together."""
+    mixed = mix_sources(docs, out=("_rv_weight", "_rv_block", "_rv_slot", "_rv_place"))
+    return mixed.orderBy("_rv_slot", "_rv_place").select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-
-    def step(docs: DataFrame, stage) -> DataFrame:
-        name, function = stage
-        function(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        return spark.read.parquet(f"{base}/{name}")
-
-    return reduce(step, STAGES, table(spark, sf_dir, "documents"))
+    """The last stage's rows. What a stage leaves in the shared folder goes as soon as its result is written."""
+    base, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    before = None
+    for name, function in STAGES:
+        since = mark()
+        result = function(spark, docs, sf_dir)
+        result.write.parquet(f"{base}/{name}")
+        release(spark, since)
+        note_path(spark, f"{base}/{name}")  # goes after the next stage, or with release()
+        if before:
+            drop_path(spark, before)
+        before = f"{base}/{name}"
+        docs = spark.read.schema(result.schema).parquet(before)
+    return docs
