@@ -6,9 +6,11 @@ its Krichevsky-Trofimov estimate with the product of its children, half and half
 mixture of the estimates of all depths, weighted by how well each has coded the training texts.
 
 All that a score needs of a byte is its gram: the context and the byte. Documents are cut into blocks; each block sends
-its distinct grams, packed by buckets of the three nearest context bytes (below which a tree has a fixed largest size),
-and gets their log probabilities back. So the statistics cover all documents, grow with them, and are never on the
-driver: only the nodes of depth 0 to 2 are (at most 65,793 contexts). Word counts take the same way.
+its distinct grams, packed by buckets of the nearest context bytes. A bucket's counts are added up over the blocks in
+rounds of FAN at a time, so a task holds distinct grams only, however many blocks share them. Each bucket's log
+probabilities are then computed once and sent back for what the blocks asked, for SLICE blocks at a time. The number of
+buckets is bounded, so rows grow with the blocks. So the statistics cover all documents, grow with them, and are never
+on the driver: only the nodes of depth 1 are (at most 256 contexts of 255 nodes). Word counts take the same way.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from ravelin.llm.quality import held_out
 
 DEPTH, SPLIT = 5, 3  # bytes of context; depth at which buckets take over from the driver
 BLOCK_BYTES, CHUNK_BYTES = 12_000_000, 1_000_000
+FAN, SLICE = 64, 1_024  # blocks whose counts are added up in one task, and that are answered in one
+MOST_SHARES, MOST_WORD_BUCKETS = 64, 4_096  # of each nearest byte; of words
 LOG_HALF = np.log(0.5)
 END = "\n"
 
@@ -147,14 +151,18 @@ def _unzip(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
 
 
+def _zip_words(words) -> bytes:
+    return _zip(np.frombuffer(b" ".join(words), dtype=np.uint8))
+
+
 class Block:
     """Documents with what they ask for: distinct grams and words, in an order that a second look finds again."""
 
-    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int):
+    def __init__(self, texts: list[bytes], train: np.ndarray, shares: int, word_buckets: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        self.texts, self.train, self.buckets = texts, train, buckets
+        self.texts, self.train = texts, train
         found = []
         for i, j in self._chunks():
             key, sizes = grams(texts[i:j])
@@ -163,9 +171,10 @@ class Block:
             found.append((code[first] >> 1, np.add.reduceat(code & 1, first) if len(code) else code))
         self.key, self.n = _sums(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
         near = (self.key >> 8 * (DEPTH + 1 - SPLIT)).astype(np.uint64)
-        bucket = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+        share = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(shares)
+        bucket = (self.key >> 8 * DEPTH) * shares + share.astype(np.int64)  # of one nearest byte, and some of the two behind it
         self.order = np.argsort(bucket, kind="stable")  # by bucket, then by key
-        self.ends = np.searchsorted(bucket[self.order], np.arange(buckets + 1).astype(np.uint64))
+        self.ends = np.searchsorted(bucket[self.order], np.arange(256 * shares + 1))
         lists = pc.split_pattern(pa.array([t.decode() for t in texts], type=pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
         self.words = coded.dictionary.to_pylist()
@@ -178,9 +187,9 @@ class Block:
         self.words.append(END)
         self.word_n = np.bincount(self.index, np.repeat(train, self.counts), minlength=len(self.words)).astype(np.int64)
         self.word_n[-1] = train.sum()
-        place = np.fromiter((zlib.crc32(w.encode()) for w in self.words), dtype=np.int64, count=len(self.words)) % buckets
+        place = np.fromiter((zlib.crc32(w.encode()) for w in self.words), dtype=np.int64, count=len(self.words)) % word_buckets
         self.word_order = np.argsort(place, kind="stable")
-        self.word_ends = np.searchsorted(place[self.word_order], np.arange(buckets + 1))
+        self.word_ends = np.searchsorted(place[self.word_order], np.arange(word_buckets + 1))
 
     def _chunks(self):
         at = size = 0
@@ -194,13 +203,12 @@ class Block:
 
     def asks(self):
         """(kind, bucket, data, counts) for every bucket that the block needs."""
-        for b in range(self.buckets):
+        for b in np.flatnonzero(np.diff(self.ends)).tolist():
             own = self.order[self.ends[b] : self.ends[b + 1]]
-            if len(own):
-                yield 1, b, _zip(np.diff(self.key[own], prepend=0)), _zip(self.n[own])
+            yield 1, b, _zip(np.diff(self.key[own], prepend=0)), _zip(self.n[own])
+        for b in np.flatnonzero(np.diff(self.word_ends)).tolist():
             own = self.word_order[self.word_ends[b] : self.word_ends[b + 1]]
-            if len(own):
-                yield 2, b, _zip(np.frombuffer(" ".join(self.words[i] for i in own.tolist()).encode(), dtype=np.uint8)), _zip(self.word_n[own])
+            yield 2, b, _zip_words(self.words[i].encode() for i in own.tolist()), _zip(self.word_n[own])
 
     def answer(self, logs: dict[int, np.ndarray], known: dict[int, np.ndarray], total: int, kinds: int):
         """n_tokens, n_known, base_score and score of every document."""
@@ -223,7 +231,7 @@ class Block:
 KIND = "block long, kind int, bucket int, data binary, counts binary, docs binary, sizes binary, ids array<bigint>"
 
 
-def _blocks(buckets: int):
+def _blocks(shares: int, word_buckets: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -233,7 +241,7 @@ def _blocks(buckets: int):
         base = TaskContext.get().partitionId() << 24
 
         def flush(number, ids, texts, train):
-            block = Block(texts, np.array(train, dtype=np.int64), buckets)
+            block = Block(texts, np.array(train, dtype=np.int64), shares, word_buckets)
             rows = [(base + number, 0, None, None, _zip(block.train), _zip(np.frombuffer(b"".join(texts), dtype=np.uint8)), _zip(np.array([len(t) for t in texts], dtype=np.int64)), ids)]
             rows += [(base + number, kind, b, data, n, None, None, None) for kind, b, data, n in block.asks()]
             del block
@@ -256,89 +264,140 @@ def _blocks(buckets: int):
     return run
 
 
-def _bucket_grams(rows):
-    """The blocks' keys one after the other, their distinct keys, and the counts of these."""
-    keys = [np.cumsum(_unzip(x, np.int64)) for x in rows.column("data").to_pylist()]
+def _grams_of(rows):
+    """The distinct keys of packed grams in order, and their counts."""
+    keys = np.concatenate([np.cumsum(_unzip(x, np.int64)) for x in rows.column("data").to_pylist()])
+    return _sums(keys, np.concatenate([_unzip(x, np.int64) for x in rows.column("counts").to_pylist()]))
+
+
+def _add_grams(rows):
+    import pyarrow as pa
+
+    key, n = _grams_of(rows)
+    return pa.table({"bucket": rows.column("bucket").slice(0, 1), "part": rows.column("part").slice(0, 1), "data": pa.array([_zip(np.diff(key, prepend=0))], pa.binary()), "counts": pa.array([_zip(n)], pa.binary()), "tokens": pa.array([0], pa.int64()), "distinct": pa.array([0], pa.int64())})
+
+
+def _words_of(rows):
+    """The distinct words as an Arrow array, and their counts."""
+    import pyarrow as pa
+
+    words = pa.array([w for x in rows.column("data").to_pylist() for w in _unzip(x, np.uint8).tobytes().split(b" ")], type=pa.large_binary())
     n = np.concatenate([_unzip(x, np.int64) for x in rows.column("counts").to_pylist()])
-    return keys, *_sums(np.concatenate(keys), n)
+    coded = words.dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), n).astype(np.int64)
 
 
-def _split_nodes(rows):
-    """A row for each nearest context byte: the nodes of depth SPLIT of a bucket."""
+def _add_words(rows):
     import pyarrow as pa
 
-    _, key, n = _bucket_grams(rows)
-    level = lower_tree(key, n)[0]
-    out: dict[int, list] = {}
-    for k in range(8):
-        node, zeros, ones, log, _ = level[k]
-        near = node >> (8 * (SPLIT - 1) + k)
-        for c in np.unique(near).tolist():
-            i = near == c
-            out.setdefault(c, [b""] * 8)[k] = _zip(np.concatenate([node[i].astype(np.float64), zeros[i], ones[i], log[i]]))
-    return pa.table({"near": pa.array(list(out), pa.int32()), "nodes": pa.array(list(out.values()), pa.list_(pa.binary()))})
+    words, n = _words_of(rows)
+    return pa.table({"bucket": rows.column("bucket").slice(0, 1), "part": rows.column("part").slice(0, 1), "data": pa.array([_zip_words(words.to_pylist())], pa.binary()), "counts": pa.array([_zip(n)], pa.binary()), "tokens": pa.array([int(n.sum())], pa.int64()), "distinct": pa.array([int((n > 0).sum())], pa.int64())})
+
+
+def _added(asked: DataFrame, blocks: int, add) -> DataFrame:
+    """A row for each bucket: its packed keys and their counts over all blocks, FAN at a time."""
+    now = asked.select("bucket", F.xxhash64("block").alias("part"), "data", "counts")
+    kind = "bucket int, part long, data binary, counts binary, tokens long, distinct long"
+    while blocks > FAN:
+        blocks = -(-blocks // FAN)
+        part = F.pmod("part", F.lit(blocks)).alias("part")
+        now = stash(now.select("bucket", part, "data", "counts").groupBy("bucket", "part").applyInArrow(add, kind), "added")
+    one = now.select("bucket", F.lit(0).cast("long").alias("part"), "data", "counts")
+    return stash(one.groupBy("bucket").applyInArrow(add, kind), "added")
+
+
+def _split_nodes(shares: int):
+    def run(rows):
+        """The nodes of depth SPLIT of a bucket."""
+        import pyarrow as pa
+
+        level = lower_tree(*_grams_of(rows))[0]
+        out = [_zip(np.concatenate([node.astype(np.float64), zeros, ones, log])) for node, zeros, ones, log, _ in level]
+        return pa.table({"near": pa.array([rows.column("bucket")[0].as_py() // shares], pa.int32()), "nodes": pa.array([out], pa.list_(pa.binary()))})
+
+    return run
 
 
 def _join_nodes(rows):
-    """All nodes of depth 2 and 1 below one nearest byte."""
+    """The nodes of depth 1 and 2 below one nearest byte, each with its eight bits."""
     import pyarrow as pa
 
-    parts, packed = rows.column("nodes").to_pylist(), []
+    parts, packed = rows.column("nodes").to_pylist(), [[] for _ in range(SPLIT - 1)]
     for k in range(8):
-        found = [_unzip(p[k], np.float64).reshape(4, -1) for p in parts if p[k]]
+        found = [_unzip(p[k], np.float64).reshape(4, -1) for p in parts]
         node, zeros, ones, log = np.concatenate(found, axis=1)
         order = np.argsort(node, kind="stable")
         level = (node[order].astype(np.int64), zeros[order], ones[order], log[order])
-        for _ in range(SPLIT - 1):
+        for depth in range(SPLIT - 1, 0, -1):
             level = upper_level(level, k)
-            packed.append(_zip(np.concatenate([level[0].astype(np.float64), *level[1:]])))
-    return pa.table({"near": rows.column("near").slice(0, 1), "nodes": pa.array([packed], pa.list_(pa.binary()))})
+            packed[depth - 1].append(_zip(np.concatenate([level[0].astype(np.float64), *level[1:]])))
+    return pa.table({"near": rows.column("near").slice(0, 1), "first": pa.array([packed[0]], pa.list_(pa.binary())), "second": pa.array([packed[1]], pa.list_(pa.binary()))})
+
 
+def _level(packed: list[bytes]) -> list[tuple]:
+    """The nodes of one depth, by bit."""
+    out = []
+    for x in packed:
+        node, *rest = _unzip(x, np.float64).reshape(5, -1)
+        out.append((node.astype(np.int64), *rest))
+    return out
 
-def upper_tree(rows: list[list[bytes]]) -> list[list[tuple]]:
-    """[depth][k] for depths 0 to SPLIT - 1, from the rows of _join_nodes."""
-    tree: list[list] = [[None] * 8 for _ in range(SPLIT)]
+
+def _root(rows: list[list[bytes]]) -> list[tuple]:
+    """The nodes of depth 0, from those of depth 1 of each nearest byte."""
+    levels, out = [_level(r) for r in rows], []
     for k in range(8):
-        for up in range(SPLIT - 1):
-            found = [_unzip(r[k * (SPLIT - 1) + up], np.float64).reshape(5, -1) for r in rows]
-            whole = np.concatenate(found, axis=1)
-            whole = whole[:, np.argsort(whole[0], kind="stable")]
-            tree[SPLIT - 1 - up][k] = (whole[0].astype(np.int64), *whole[1:])
-        tree[0][k] = upper_level(tree[1][k], k)
-    return tree
+        node, zeros, ones, log = (np.concatenate([level[k][i] for level in levels]) for i in range(4))
+        order = np.argsort(node, kind="stable")
+        out.append(upper_level((node[order], zeros[order], ones[order], log[order]), k))
+    return out
 
 
-def _gram_answers(upper):
-    def run(rows):
+def _model(root):
+    def run(rows, upper):
+        """The log10 probabilities of a bucket's grams."""
         import pyarrow as pa
 
-        keys, key, n = _bucket_grams(rows)
-        log = log10_probabilities(key, lower_tree(key, n), upper).astype(np.float32)
-        out = [_zip(log[np.searchsorted(key, x)]) for x in keys]
-        return pa.table({"block": rows.column("block"), "kind": rows.column("kind"), "bucket": rows.column("bucket"), "data": pa.array(out, pa.binary())})
+        key, n = _grams_of(rows)
+        levels = [root, _level(upper.column("first")[0].as_py()), _level(upper.column("second")[0].as_py())]
+        log = log10_probabilities(key, lower_tree(key, n), levels)
+        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "data": pa.array([_zip(np.diff(key, prepend=0))], pa.binary()), "counts": pa.array([_zip(log)], pa.binary())})
 
     return run
 
 
-def _word_answers(rows):
-    """Counts for each block's words; and the bucket's number of tokens and of distinct words, as a row without a block."""
+ANSWER = "block long, kind int, bucket int, data binary"
+
+
+def _answer_grams(asked, model):
     import pyarrow as pa
 
-    lists = [_unzip(x, np.uint8).tobytes().split(b" ") for x in rows.column("data").to_pylist()]
-    n = np.concatenate([_unzip(x, np.int64) for x in rows.column("counts").to_pylist()])
-    coded = pa.array([w for own in lists for w in own], type=pa.large_binary()).dictionary_encode()
-    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    c = np.bincount(index, n).astype(np.int64)
-    at, out = 0, []
-    for own in lists:
-        out.append(_zip(c[index[at : at + len(own)]]))
-        at += len(own)
-    head = lambda name, more, kind: pa.array([*rows.column(name).to_pylist(), more], type=kind)
-    none = [None] * len(out)
-    return pa.table({"block": head("block", None, pa.int64()), "kind": head("kind", None, pa.int32()), "bucket": head("bucket", None, pa.int32()), "data": pa.array([*out, None], pa.binary()), "tokens": pa.array([*none, int(c.sum())], pa.int64()), "distinct": pa.array([*none, int((c > 0).sum())], pa.int64())})
-
-
-def _scores(buckets: int, total: int, kinds: int):
+    key, log = np.cumsum(_unzip(model.column("data")[0].as_py(), np.int64)), _unzip(model.column("counts")[0].as_py(), np.float64)
+    out = [_zip(log[np.searchsorted(key, np.cumsum(_unzip(x, np.int64)))]) for x in asked.column("data").to_pylist()]
+    return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "data": pa.array(out, pa.binary())})
+
+
+def _answer_words(asked, model):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words, n = _words_of(model)
+    out = []
+    for x in asked.column("data").to_pylist():
+        own = pa.array(_unzip(x, np.uint8).tobytes().split(b" "), type=pa.large_binary())
+        out.append(_zip(n[pc.index_in(own, value_set=words).to_numpy(zero_copy_only=False)]))
+    return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "data": pa.array(out, pa.binary())})
+
+
+def _answered(asked: DataFrame, model: DataFrame, blocks: int, answer) -> DataFrame:
+    """What each block asked of each bucket; a bucket's model meets SLICE blocks at a time."""
+    slices = -(-blocks // SLICE)
+    models = model.select(F.col("bucket").alias("b"), "data", "counts", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"))
+    asked = asked.select("block", "kind", "bucket", "data", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("slice"))
+    return asked.groupBy("bucket", "slice").cogroup(models.groupBy("b", "s")).applyInArrow(answer, ANSWER)
+
+
+def _scores(shares: int, word_buckets: int, total: int, kinds: int):
     def run(rows):
         import pyarrow as pa
 
@@ -347,12 +406,12 @@ def _scores(buckets: int, total: int, kinds: int):
             if row["kind"] == 0:
                 docs = row
             elif row["kind"] == 1:
-                logs[row["bucket"]] = _unzip(row["data"], np.float32)
+                logs[row["bucket"]] = _unzip(row["data"], np.float64)
             else:
                 known[row["bucket"]] = _unzip(row["data"], np.int64)
         data, sizes, train = _unzip(docs["docs"], np.uint8).tobytes(), _unzip(docs["sizes"], np.int64), _unzip(docs["counts"], np.int64)
         ends = np.cumsum(sizes).tolist()
-        block = Block([data[e - s : e] for e, s in zip(ends, sizes.tolist(), strict=True)], train, buckets)
+        block = Block([data[e - s : e] for e, s in zip(ends, sizes.tolist(), strict=True)], train, shares, word_buckets)
         n, k, base, score = block.answer(logs, known, total, kinds)
         return pa.table({"doc_id": pa.array(docs["ids"], pa.int64()), "held_out": pa.array(train == 0), "n_tokens": pa.array(n), "n_known": pa.array(k), "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(base), "score": pa.array(score)})
 
@@ -366,22 +425,26 @@ def ctw_scores(docs: DataFrame, n: int = 10) -> DataFrame:
     documents that are not held out (crc32 of doc_id as text divisible by n); a null doc_id is not held out, a null
     text is empty. Equal rows are scored one by one. Without training documents every bit has probability 1/2.
     """
-    bytes_ = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    buckets = 1 + bytes_ // BLOCK_BYTES
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // BLOCK_BYTES
+    shares, word_buckets = min(MOST_SHARES, 1 + size // 24), min(MOST_WORD_BUCKETS, 1 + size)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(n).alias("held"), "text")
-    blocks = stash(named.mapInArrow(_blocks(buckets), KIND), "blocks")
-    asked = blocks.where("kind = 1").select("block", "kind", "bucket", "data", "counts")
-    nodes = asked.groupBy("bucket").applyInArrow(_split_nodes, "near int, nodes array<binary>").groupBy("near").applyInArrow(_join_nodes, "near int, nodes array<binary>")
-    found = [r["nodes"] for r in nodes.collect()]  # at most 256 rows, 65,792 contexts
-    words = stash(blocks.where("kind = 2").select("block", "kind", "bucket", "data", "counts").groupBy("bucket").applyInArrow(_word_answers, "block long, kind int, bucket int, data binary, tokens long, distinct long"), "words")
-    total = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("d")).first()
+    blocks = stash(named.mapInArrow(_blocks(shares, word_buckets), KIND), "blocks")
+    many = blocks.where("kind = 0").count()
     ready = blocks.where("kind = 0").select("block", "kind", "bucket", "data", "counts", "docs", "sizes", "ids")
-    if found:
-        logs = asked.groupBy("bucket").applyInArrow(_gram_answers(upper_tree(found)), "block long, kind int, bucket int, data binary")
-        ready = ready.unionByName(logs, allowMissingColumns=True)
-    ready = ready.unionByName(words.where("block is not null").select("block", "kind", "bucket", "data"), allowMissingColumns=True)
+    asked, words, total = blocks.where("kind = 1"), blocks.where("kind = 2"), {"t": 0, "d": 0}
+    if many:
+        counts = _added(asked, many, _add_grams)
+        split = counts.groupBy("bucket").applyInArrow(_split_nodes(shares), "near int, nodes array<binary>")
+        upper = stash(split.groupBy("near").applyInArrow(_join_nodes, "near int, first array<binary>, second array<binary>"), "upper")
+        root = _root([r["first"] for r in upper.select("first").collect()])  # at most 256 rows of 255 nodes
+        own = counts.select("bucket", F.expr(f"bucket div {shares}").alias("c")).join(upper, F.col("c") == F.col("near")).select(F.col("bucket").alias("b"), "first", "second")
+        model = counts.groupBy("bucket").cogroup(own.groupBy("b")).applyInArrow(_model(root), "bucket int, data binary, counts binary")
+        known = _added(words, many, _add_words)
+        total = known.agg(F.sum("tokens").alias("t"), F.sum("distinct").alias("d")).first()
+        ready = ready.unionByName(_answered(asked, model, many, _answer_grams), allowMissingColumns=True)
+        ready = ready.unionByName(_answered(words, known, many, _answer_words), allowMissingColumns=True)
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return ready.groupBy("block").applyInArrow(_scores(buckets, total["t"], total["d"]), kind)
+    return ready.groupBy("block").applyInArrow(_scores(shares, word_buckets, total["t"], total["d"]), kind)
 
 
 def op9_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
