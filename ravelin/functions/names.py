@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The names that the target language reserves.
 KEYWORDS = (
     "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut "
-    "pub ref return self static struct super trait true type unsafe use where while abstract become box do final macro "
-    "override priv typeof unsized virtual yield try gen"
+    "pub ref return self static struct super trait true type unsafe use where while yield"
 ).split()
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ravelin.functions.names import package_of, subpath_of, without_version
 from ravelin.functions.paths import directory, join, normal
 
+# The runtime's own modules, by their whole specifier; and the conditions of export maps, first wins.
 BUILTINS = (
-    "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs "
-    "http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream "
-    "string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib"
+    "assert async_hooks buffer child_process crypto dns events fs fs/promises http https module net os path perf_hooks process "
+    "readline stream stream/promises string_decoder timers timers/promises tty url util v8 vm worker_threads zlib"
 ).split()
 CONDITIONS = ("bun", "source", "default", "import", "require", "types")
 SCRIPTS = (".js", ".mjs", ".cjs", ".jsx")
@@ -28,56 +28,54 @@ def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
 
 
 def source_candidates(target: Column) -> Column:
-    """Array of the files that a target may stand for, in order. A compiled target (below dist/) stands for its source."""
-    t = F.regexp_replace(target, r"^\./", "")
-    compiled = t.rlike(r"(^|/)dist/")
-    s = F.regexp_replace(t, r"(^|/)dist/", "$1src/")
-    script = F.regexp_extract(s, r"(\.(?:mjs|cjs|jsx|js))$", 1)
-    stem = F.regexp_replace(s, r"(\.d\.ts|\.mjs|\.cjs|\.jsx|\.js)$", "")
-    ts = F.array(*[F.concat(stem, F.lit(e)) for e in (".ts", ".tsx", "/index.ts", "/index.tsx")])
-    own = F.when((script != "") & ~compiled, F.array(s)).otherwise(F.array().cast("array<string>"))
-    js = F.when(compiled, F.array().cast("array<string>")).otherwise(F.array(*[F.concat(stem, F.lit(e)) for e in (*SCRIPTS, *(f"/index{e}" for e in SCRIPTS))]))
-    return F.when(stem.rlike(r"\.tsx?$"), F.array(stem)).otherwise(F.array_distinct(F.concat(ts, own, js)))
+    """Array of the files that a target may stand for, in order. A compiled target (below dist/) stands for its source, and
+    never for itself."""
+    t = F.regexp_replace(target, r"^(\./)+", "")
+    source = F.regexp_replace(t, "^dist/", "src/")
+    stem = F.regexp_replace(source, r"(\.d\.ts|\.js|\.mjs|\.cjs|\.jsx)$", "")
+    typed = F.array(*[F.concat(stem, F.lit(e)) for e in (".ts", ".tsx", "/index.ts", "/index.tsx")])
+    itself = F.when(~t.startswith("dist/") & (stem != t), F.array(t)).otherwise(F.array().cast("array<string>"))
+    scripts = F.array(*[F.concat(stem, F.lit(way + e)) for e in SCRIPTS for way in ("", "/index")])
+    return F.when(stem.rlike(r"\.tsx?$"), F.array(stem)).otherwise(F.array_distinct(F.concat(typed, itself, scripts)))
 
 
 def relative_candidates(rel: Column, spec: Column) -> Column:
     return source_candidates(join(directory(rel), spec))
 
 
+def _condition_targets(entry: Column, star: Column) -> Column:
+    """Of one entry of an export map, as JSON: a string itself, or the strings of the known conditions, with the wildcard's
+    text filled in. Anything else gives none."""
+    found = F.from_json(entry, "map<string,string>")
+    fill = lambda v: F.when(star.isNull(), v).otherwise(F.replace(v, F.lit("*"), F.coalesce(star, F.lit(""))))
+    plain = lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]")
+    known = F.filter(F.array(*[found[c] for c in CONDITIONS]), plain)
+    return F.when(entry.rlike(r"^\s*\{"), F.transform(known, fill)).when(plain(entry), F.array(fill(entry))).otherwise(F.array().cast("array<string>"))
+
+
 def export_targets(packages: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (package, key) with `targets`: what the package's export map gives for the key, in order.
 
-    The exact key first, else the first key with a wildcard, in the map's order, that fits. Of a map of conditions, the
-    known ones in the order of CONDITIONS; nested maps and lists are left out. An export map that is a string is the
-    one of `.`.
+    The exact key, even if its entry gives nothing; else the first key with a wildcard, in the order of keys, that fits.
+    An export map that is a string is that of `.`; one without keys for paths gives nothing.
     """
-    import json
-
-    from pyspark.sql.functions import udf
-
-    @udf("array<string>")
-    def targets(exports, key):
-        try:
-            found = json.loads(exports) if exports else None
-        except ValueError:
-            return []
-        if isinstance(found, str):
-            found = {".": found}
-        if not isinstance(found, dict):
-            return []
-        if found and not any(k.startswith(".") for k in found):
-            found = {".": found}
-        value, star = found.get(key), None
-        if value is None:
-            for pattern, v in found.items():
-                head, mark, tail = pattern.partition("*")
-                if mark and key.startswith(head) and key.endswith(tail) and len(key) >= len(head) + len(tail):
-                    value, star = v, key[len(head) : len(key) - len(tail)]
-                    break
-        values = [value] if isinstance(value, str) else [value[c] for c in CONDITIONS if isinstance(value.get(c), str)] if isinstance(value, dict) else []
-        return [v.replace("*", star) if star is not None else v for v in values]
-
-    return asked.join(packages.select(F.col("name").alias("package"), "exports"), "package", "left").withColumn("targets", targets("exports", "key")).drop("exports")
+    entries = F.array_sort(F.map_entries(F.from_json("exports", "map<string,string>")))
+    head, tail = (lambda e: F.substring_index(e["key"], "*", 1)), (lambda e: F.substr(e["key"], F.instr(e["key"], "*") + 1))
+    fits = lambda e: e["key"].contains("*") & F.col("key").startswith(head(e)) & F.col("key").endswith(tail(e)) & (F.length("key") >= F.length(head(e)) + F.length(tail(e)))
+    exact, wild = F.get(F.filter("_entries", lambda e: e["key"] == F.col("key")), F.lit(0)), F.get(F.filter("_entries", fits), F.lit(0))
+    star = F.substr("key", F.length(head(F.col("_wild"))) + 1, F.length("key") - F.length(head(F.col("_wild"))) - F.length(tail(F.col("_wild"))))
+    text = F.get(F.from_json(F.concat(F.lit("["), F.col("exports"), F.lit("]")), "array<string>"), F.lit(0))
+    out = asked.join(packages.select(F.col("name").alias("package"), "exports"), "package", "left").withColumn("_entries", entries)
+    out = out.withColumn("_exact", exact).withColumn("_wild", wild)
+    none = F.array().cast("array<string>")
+    targets = (
+        F.when(F.col("exports").isNull(), none)
+        .when(F.col("exports").rlike(r"^\s*\""), F.when(F.col("key") == ".", F.array(text)).otherwise(none))
+        .when(F.col("_exact").isNotNull(), _condition_targets(F.col("_exact.value"), F.lit(None).cast("string")))
+        .when(F.col("_wild").isNotNull(), _condition_targets(F.col("_wild.value"), star))
+        .otherwise(none)
+    )
+    return out.withColumn("targets", targets).drop("exports", "_entries", "_exact", "_wild")
 
 
 def package_candidates(packages: DataFrame, asked: DataFrame) -> DataFrame:
@@ -91,45 +89,57 @@ def package_candidates(packages: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def first_candidate(asked: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
-    """key and `file`: of asked (key, candidates) the first candidate that files (rel) has; null if none."""
-    each = asked.select(*key, F.posexplode("candidates").alias("ord", "rel")).join(files.select("rel").distinct(), "rel")
-    best = each.groupBy(*key).agg(F.min_by("rel", "ord").alias("file"))
+    """key and `file`: of asked (key, candidates) the first candidate that files (rel) has; null if none. The key may have
+    a column rel of its own."""
+    each = asked.select(*key, F.posexplode("candidates").alias("_ord", "_candidate")).join(files.select(F.col("rel").alias("_candidate")).distinct(), "_candidate")
+    best = each.groupBy(*key).agg(F.min_by("_candidate", "_ord").alias("file"))
     return asked.select(*key).distinct().join(best, key, "left")
 
 
 def links(imports: DataFrame, packages: DataFrame) -> DataFrame:
     """imports (rel, specifier, package: the importer's) with `link_kind` and `link`: workspace or npm, by what the
-    importer declares for the name: `workspace:` a known package, `npm:` the aliased name, else the name itself."""
-    name = package_of(F.col("specifier"))
-    declared = packages.select(F.col("name").alias("package"), F.explode("deps").alias("dep", "spec"))
-    known = packages.select(F.col("name").alias("link_known")).distinct()
-    out = imports.withColumn("dep", name).join(declared, ["package", "dep"], "left").join(known, F.col("dep") == F.col("link_known"), "left")
-    own = F.col("spec").startswith("workspace:") & F.col("link_known").isNotNull()
-    alias = F.col("spec").startswith("npm:")
-    out = out.withColumn("link_kind", F.when(F.col("spec").isNull(), None).when(own, "workspace").otherwise("npm"))
-    return out.withColumn("link", F.when(F.col("spec").isNull(), None).when(alias, without_version(F.col("spec"))).otherwise(F.col("dep"))).drop("link_known", "spec", "dep")
+    importer declares for the name: `workspace:` a known package, `npm:` the aliased name. What is declared otherwise, or
+    not at all, is the npm package of that name."""
+    declared = packages.select(F.col("name").alias("package"), F.explode("deps").alias("_dep", "_spec"))
+    known = packages.select(F.col("name").alias("_known")).distinct()
+    out = imports.withColumn("_dep", package_of(F.col("specifier"))).join(declared, ["package", "_dep"], "left").join(known, F.col("_dep") == F.col("_known"), "left")
+    own = F.coalesce(F.col("_spec").startswith("workspace:") & F.col("_known").isNotNull(), F.lit(False))
+    alias = F.coalesce(F.col("_spec").startswith("npm:"), F.lit(False))
+    out = out.withColumn("link_kind", F.when(own, "workspace").otherwise("npm"))
+    return out.withColumn("link", F.when(alias, without_version(F.col("_spec"))).otherwise(F.col("_dep"))).drop("_known", "_spec", "_dep")
+
+
+def local_package(imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """imports (specifier, package: the importer's) with `local`: the workspace package of the specifier's name, however
+    the importer declares it, unless as an alias (`npm:`)."""
+    declared = packages.select(F.col("name").alias("package"), F.explode("deps").alias("_dep", "_spec")).where("_spec like 'npm:%'")
+    out = imports.withColumn("_dep", package_of(F.col("specifier"))).join(declared, ["package", "_dep"], "left")
+    out = out.join(packages.select(F.col("name").alias("_known")).distinct(), F.col("_dep") == F.col("_known"), "left")
+    return out.withColumn("local", F.when(F.col("_spec").isNull(), F.col("_known"))).drop("_dep", "_spec", "_known")
 
 
 def resolve(imports: DataFrame, files: DataFrame, packages: DataFrame, external_packages: list[str]) -> DataFrame:
-    """imports (rel, specifier, package) with `tag` (file, external, unresolved) and `value`. In this order: JSON
-    assets, relative paths, built-ins, workspace packages (external ones by name), npm packages."""
+    """imports (rel, specifier, package: the importer's, or null) with `tag` (file, external, unresolved) and `value`.
+
+    In this order: JSON assets, relative paths, built-ins, workspace packages (external ones by name), npm packages.
+    files (rel): those that count as sources."""
     spec = F.col("specifier")
-    linked = links(imports, packages).withColumn("sub", subpath_of(spec))
+    linked = links(imports, packages).withColumn("_sub", F.coalesce(subpath_of(spec), F.lit("")))
     here = linked.where(spec.startswith(".")).select("rel", "specifier", relative_candidates(F.col("rel"), spec).alias("candidates"))
-    there = package_candidates(packages, linked.where("link_kind = 'workspace'").select(F.col("link").alias("package"), "sub").distinct())
+    there = linked.where("link_kind = 'workspace'").select(F.col("link").alias("package"), "_sub").distinct()
+    there = package_candidates(packages, there.withColumn("sub", F.when(F.col("_sub") != "", F.col("_sub"))))
     local = first_candidate(here.distinct(), files, ["rel", "specifier"])
-    inner = first_candidate(there.withColumn("sub", F.coalesce("sub", F.lit(""))), files, ["package", "sub"]).select(F.col("package").alias("link"), F.col("sub").alias("_sub"), F.col("file").alias("inner"))
-    out = linked.withColumn("_sub", F.coalesce("sub", F.lit(""))).join(local, ["rel", "specifier"], "left").join(inner, ["link", "_sub"], "left")
-    bare = F.regexp_replace(spec, "^node:", "")
-    builtin = spec.startswith("node:") | package_of(spec).isin(BUILTINS)
+    inner = first_candidate(there, files, ["package", "_sub"]).select(F.col("package").alias("link"), "_sub", F.col("file").alias("_inner"))
+    out = linked.join(local, ["rel", "specifier"], "left").join(inner, ["link", "_sub"], "left")
+    builtin = spec.startswith("node:") | spec.isin(BUILTINS)
     outside = (F.col("link_kind") == "workspace") & F.col("link").isin(external_packages) if external_packages else F.lit(False)
     value = (
         F.when(spec.endswith(".json"), F.lit("json-asset"))
         .when(spec.startswith("."), F.col("file"))
-        .when(builtin, F.concat(F.lit("node:"), bare))
+        .when(builtin, F.concat(F.lit("node:"), F.regexp_replace(spec, "^node:", "")))
         .when(outside, F.col("link"))
-        .when(F.col("link_kind") == "workspace", F.col("inner"))
-        .when(F.col("link_kind") == "npm", F.col("link"))
+        .when(F.col("link_kind") == "workspace", F.col("_inner"))
+        .otherwise(F.col("link"))
     )
     at_file = ~spec.endswith(".json") & (spec.startswith(".") | (~builtin & (F.col("link_kind") == "workspace") & ~outside))
     tag = F.when(value.isNull(), "unresolved").when(at_file, "file").otherwise("external")
@@ -137,20 +147,19 @@ def resolve(imports: DataFrame, files: DataFrame, packages: DataFrame, external_
 
 
 def package_rule(externals: DataFrame, rules: DataFrame) -> DataFrame:
-    """externals (name) with the rule (npm, rust) of that name, or of the name behind `node:`; null without one."""
-    a = rules.select(F.col("npm").alias("name"), F.col("rust").alias("exact"))
-    b = rules.select(F.concat(F.lit("node:"), F.col("npm")).alias("name"), F.col("rust").alias("behind"))
-    c = rules.select(F.regexp_replace("npm", "^node:", "").alias("name"), F.col("rust").alias("bare"))
-    return externals.join(a, "name", "left").join(b, "name", "left").join(c.dropDuplicates(["name"]), "name", "left").withColumn("rust", F.coalesce("exact", "behind", "bare")).drop("exact", "behind", "bare")
+    """externals (name) with the rule (npm, rust) of that name, or else of `node:` and that name; null without one."""
+    a = rules.select(F.col("npm").alias("name"), F.col("rust").alias("_exact"))
+    b = rules.where("npm like 'node:%'").select(F.substring("npm", 6, 1 << 20).alias("name"), F.col("rust").alias("_bare"))
+    return externals.join(a, "name", "left").join(b, "name", "left").withColumn("rust", F.coalesce("_exact", "_bare")).drop("_exact", "_bare")
 
 
 def map_exports(exports: DataFrame, items: DataFrame, explicit: DataFrame, previous: DataFrame) -> DataFrame:
-    """exports (rel, name, kind) with `item`: the explicit mapping, else the name, its snake form or its capitals among
+    """exports (rel, name, kind) with `item`: the explicit mapping, else the name, its snake form or it in capitals among
     the items (rel, item), else the previous mapping (not for re-exports and defaults); null: unmapped."""
     from ravelin.functions.names import snake
 
     n = F.col("name")
-    tries = exports.select("rel", "name", F.posexplode(F.array(n, snake(n), F.upper(snake(n)))).alias("ord", "item")).join(items, ["rel", "item"], "left_semi")
+    tries = exports.select("rel", "name", F.posexplode(F.array(n, snake(n), F.upper(n))).alias("ord", "item")).join(items, ["rel", "item"], "left_semi")
     found = tries.groupBy("rel", "name").agg(F.min_by("item", "ord").alias("found"))
     out = exports.join(found, ["rel", "name"], "left").join(explicit.select("rel", "name", F.col("item").alias("told")), ["rel", "name"], "left").join(previous.select("rel", "name", F.col("item").alias("old")), ["rel", "name"], "left")
     return out.withColumn("item", F.coalesce("told", "found", F.when(~F.col("kind").isin("reexport", "default"), F.col("old")))).drop("told", "found", "old")

@@ -42,13 +42,12 @@ def changed(old: DataFrame, new: DataFrame, added_only: bool = False, under: str
 def stale(entries: DataFrame, now: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """ts, paths: entries whose tracked paths have another content now (path, blob) than recorded, and which of them.
 
-    A path that is missing on one side only differs. Entries without recorded contents are compared with the snapshot
-    of their base revision."""
+    A path that is missing on one side only differs; a recorded path that is no longer tracked doesn't count. Entries
+    without recorded contents are compared with the snapshot of their base revision."""
     paths = tracked_paths(entries).join(entries.select("ts", "ts_base", "ts_blobs"), "ts")
     known = F.coalesce(F.size("ts_blobs") > 0, F.lit(False))
     recorded = entries.select("ts", F.explode("ts_blobs").alias("path", "old"))
-    mine = entries.where(known).select("ts", F.explode(F.map_keys("ts_blobs")).alias("path")).unionByName(paths.where(known).select("ts", "path")).distinct()
-    mine = mine.join(recorded, ["ts", "path"], "left")
+    mine = paths.where(known).select("ts", "path").join(recorded, ["ts", "path"], "left")
     if snapshots is not None:
         base = paths.where(~known).select("ts", "path", F.col("ts_base").alias("rev")).join(snapshots, ["rev", "path"], "left").select("ts", "path", F.col("blob").alias("old"))
         mine = mine.unionByName(base)
@@ -112,3 +111,34 @@ def gate(base: dict[str, DataFrame], head: dict[str, DataFrame], there: DataFram
         lost_entries(base["entries"], head["entries"], base["stale"], there).select(F.lit("lost entry").alias("rule"), "ts", F.col("reason").alias("detail")),
     ]
     return reduce(DataFrame.unionByName, rows)
+
+
+def lookup_blobs(asked: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """asked (rev, path) with its blob, null where the path did not exist. snapshots (rev, path, blob, kind); a path that is
+    no file there raises."""
+    found = asked.join(snapshots.select("rev", "path", "blob", F.col("kind").alias("_kind")), ["rev", "path"], "left")
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("not a file:"), "path", F.lit("is a"), "_kind"))
+    return found.withColumn("blob", F.when(F.col("_kind").isNull() | (F.col("_kind") == "blob"), F.col("blob")).otherwise(wrong)).drop("_kind")
+
+
+def kinds_at(asked: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """asked (rev, path) with its kind: blob, tree (something lies below it), or null."""
+    parts = F.split("path", "/")
+    above = snapshots.select("rev", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")).where("path <> ''").distinct()
+    every = snapshots.select("rev", "path", F.lit("blob").alias("kind")).unionByName(above.withColumn("kind", F.lit("tree"))).groupBy("rev", "path").agg(F.min("kind").alias("kind"))
+    return asked.join(every, ["rev", "path"], "left")
+
+
+def patch(old: DataFrame, new: DataFrame, paths: DataFrame) -> DataFrame:
+    """path, patch: the unified difference of two revisions' texts (path, content), of the paths whose texts differ."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def unified(path, a, b):
+        import difflib
+
+        side = lambda t: (t or "").splitlines(keepends=True)
+        return path.__class__(["".join(x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n" for x in difflib.unified_diff(side(x), side(y), f"a/{p}", f"b/{p}")) for p, x, y in zip(path, a, b, strict=True)])
+
+    both = old.select("path", F.col("content").alias("a")).join(new.select("path", F.col("content").alias("b")), "path", "full_outer").join(paths.select("path").distinct(), "path", "left_semi")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("path", unified("path", "a", "b").alias("patch"))

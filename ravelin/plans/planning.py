@@ -127,24 +127,28 @@ def wave(batched: DataFrame, footprints: DataFrame, count: int | None = None) ->
 
 
 def conflicts(footprints: DataFrame) -> DataFrame:
-    """a, b: pairs of batches that can't be worked on at once, by a join on the path."""
-    x, y = footprints.alias("x"), footprints.alias("y")
-    both = (F.col("x.kind") == "registers") & (F.col("y.kind") == "registers")
-    return x.join(y, (F.col("x.path") == F.col("y.path")) & (F.col("x.batch") < F.col("y.batch")) & ~both).select(F.col("x.batch").alias("a"), F.col("y.batch").alias("b")).distinct()
+    """a, b: pairs of batches that can't be worked on at once: one writes what the other writes or registers. Joined from the
+    side that writes, so a parent that many only register makes no pairs."""
+    x = footprints.where("kind = 'writes'").select("path", F.col("batch").alias("x"))
+    y = footprints.select("path", F.col("batch").alias("y"))
+    return x.join(y, "path").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def footprint(targets: DataFrame, existing: DataFrame) -> DataFrame:
-    """batch, path, kind. targets (batch, path): files that a batch writes. It registers them in their parents, up to the
-    first one that exists (existing: path); at the top that is lib.rs."""
-    writes = targets.select("batch", "path", F.lit("writes").alias("kind")).distinct()
+    """batch, path, kind. targets (batch, crate, path, own): files that a batch writes; own ones, not those in which it only
+    declares types. It registers own files in their parents, up to the first one that exists (existing: crate, path); at
+    the top that is lib.rs. Paths have their crate in front."""
+    whole = lambda path: F.concat_ws("/", "crate", path)
+    writes = targets.select("batch", whole("path").alias("path"), F.lit("writes").alias("kind")).distinct()
     parts = F.split(F.regexp_replace("path", r"(/mod)?\.rs$", ""), "/")
-    n = F.size(parts) - 1
-    chain = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.when(n - i <= 0, F.lit("lib.rs")).otherwise(F.concat(F.array_join(F.slice(parts, 1, F.greatest(n - i, F.lit(1))), "/"), F.lit("/mod.rs"))))
-    up = targets.select("batch", "path", F.posexplode(F.array_distinct(chain)).alias("ord", "parent")).where("parent <> path")
-    there = existing.select(F.col("path").alias("parent"), F.lit(True).alias("there"))
-    first = up.join(there, "parent").groupBy("batch", "path").agg(F.min("ord").alias("stop"))
-    registers = up.join(first, ["batch", "path"], "left").where("stop is null or ord <= stop").select("batch", F.col("parent").alias("path"), F.lit("registers").alias("kind")).distinct()
-    return writes.unionByName(registers.join(writes.select("batch", "path"), ["batch", "path"], "left_anti"))
+    n = F.size(parts) - 1  # directories above
+    dirs = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.when(n - i <= 0, F.lit("")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(n - i, F.lit(1))), "/")))
+    up = targets.where("own").select("batch", "crate", F.col("path").alias("target"), F.posexplode(F.array_distinct(dirs)).alias("ord", "dir"))
+    up = up.withColumn("path", F.when(F.col("dir") == "", "lib.rs").otherwise(F.concat("dir", F.lit("/mod.rs"))))
+    there = existing.select("crate", F.regexp_replace("path", r"(/mod)?\.rs$", "").alias("dir")).distinct().withColumn("there", F.lit(True))
+    stop = up.where("dir <> ''").join(there, ["crate", "dir"]).groupBy("batch", "crate", "target").agg(F.min("ord").alias("stop"))
+    registers = up.join(stop, ["batch", "crate", "target"], "left").where("stop is null or ord <= stop").select("batch", whole("path").alias("path"), F.lit("registers").alias("kind")).distinct()
+    return writes.unionByName(registers)
 
 
 def unit_dir(unit_of: DataFrame) -> DataFrame:

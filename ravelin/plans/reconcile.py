@@ -19,9 +19,10 @@ def normalise(text: Column, rules: list[tuple[str, str]], work: Column | None =
 
 def first_difference(pairs: DataFrame, key: list[str], old: str = "old", new: str = "new") -> DataFrame:
     """key, line, old_line, new_line of the first line (from 1) that differs; a side that has ended is null, and line is
-    null if only the last line feed differs. Equal texts give no row."""
+    null if only line ends differ. A carriage return before a line feed is part of the line's end. Equal texts give no row."""
     differ = pairs.where(~F.col(old).eqNullSafe(F.col(new)))
-    lines = lambda c: F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\n\z", ""), "\n", -1)
+    ends = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\r?\n\z", "")
+    lines = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(ends(c), r"\r?\n", -1))
     both = F.arrays_zip(lines(F.col(old)).alias("a"), lines(F.col(new)).alias("b"))
     x = differ.select(*key, F.posexplode(both).alias("pos", "l")).where(~F.col("l.a").eqNullSafe(F.col("l.b")))
     first = x.groupBy(*key).agg(F.min_by(F.struct((F.col("pos") + 1).alias("line"), F.col("l.a").alias("old_line"), F.col("l.b").alias("new_line")), "pos").alias("d"))

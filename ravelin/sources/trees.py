@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tomllib
 from dataclasses import dataclass, field, fields
@@ -10,19 +11,51 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.functions.paths import line_count
+from ravelin.functions.paths import glob_regex, line_count
 from ravelin.operators.predicates import is_source
 
 PRUNED = ("node_modules", "dist", ".git", "target")  # directories never looked into
 MANIFEST = "package.json"
 
 
+def _walk(root: str, glob: re.Pattern) -> list[tuple[str]]:
+    """The paths below root, relative to it, of regular files; pruned directories aren't looked into."""
+    out = []
+    for at, dirs, names in os.walk(root):
+        dirs[:] = [d for d in dirs if d not in PRUNED]
+        under = os.path.relpath(at, root).replace(os.sep, "/")
+        own = [n for n in names if glob.fullmatch(n) and os.path.isfile(os.path.join(at, n)) and not os.path.islink(os.path.join(at, n))]
+        out += [(n if under == "." else f"{under}/{n}",) for n in own]
+    return sorted(out)
+
+
+def _read(root: str):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                with open(os.path.join(root, rel), "rb") as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text])], names=["rel", "content"])
+
+    return run
+
+
 def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """rel, content of every file below root whose name matches glob, without those below a pruned directory. Bytes that
-    aren't UTF-8 are replaced; Spark's file scan has no row for an empty file."""
-    plain = (root.split("://", 1)[1] if "://" in root else root.removeprefix("file:")).rstrip("/")
+    aren't UTF-8 are replaced.
+
+    A tree in a mounted folder is listed on the driver, which doesn't look into pruned directories, and read by the tasks.
+    In other stores Spark's file scan reads it; that has no rows for empty files, nor for names that start with _ or a dot.
+    """
+    where = re.match("([a-z][a-z0-9+.-]*):", root)
+    if where is None or where[1] == "file":
+        plain = re.sub("^file:(//)?", "", root)
+        found = spark.createDataFrame(_walk(plain, re.compile(glob_regex(glob))), "rel string")
+        return found.repartition("rel").mapInArrow(_read(plain), "rel string, content string")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    rel = F.regexp_replace("path", "^.*?" + re.sub(r"([^\w/])", r"\\\1", plain) + "/", "")
+    rel = F.regexp_replace("path", "^.*?" + re.sub(r"([^\w/])", r"\\\1", root.split("://", 1)[1].rstrip("/")) + "/", "")
     found = read.select(rel.alias("rel"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return found.where(~F.arrays_overlap(F.split("rel", "/"), F.array(*map(F.lit, PRUNED))))
 

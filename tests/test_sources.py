@@ -8,11 +8,11 @@ from ravelin.streaming import ledger as stream
 
 
 def test_trees_prune_and_count(spark, tmp_path):
-    for rel, text in {"a/x.ts": "1\n2\n", "a/y.d.ts": "z", "a/node_modules/q.ts": "n", "b/dist/w.ts": "n", "b/v.tsx": "t", "b/u.js": "j", "b/e.ts": "", "a b+c/k.ts": "é"}.items():
+    for rel, text in {"a/x.ts": "1\n2\n", "a/y.d.ts": "z", "a/node_modules/q.ts": "n", "b/dist/w.ts": "n", "b/v.tsx": "t", "b/u.js": "j", "b/e.ts": "", "a b+c/k.ts": "é", "__tests__/_t.ts": "u\n", "b/.git/h.ts": "g", "target/i.ts": "i"}.items():
         (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / rel).write_text(text)
     found = {r["rel"]: (r["content"], r["lines"]) for r in trees.source_files(spark, f"file://{tmp_path}", ["ts", "tsx"]).collect()}
-    assert found == {"a/x.ts": ("1\n2\n", 2), "b/v.tsx": ("t", 1), "a b+c/k.ts": ("é", 1)}  # an empty file has no row
+    assert found == {"a/x.ts": ("1\n2\n", 2), "b/v.tsx": ("t", 1), "a b+c/k.ts": ("é", 1), "b/e.ts": ("", 0), "__tests__/_t.ts": ("u\n", 1)}
 
 
 def test_packages_merge_their_dependencies(spark, tmp_path):
