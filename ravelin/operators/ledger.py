@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,27 +23,55 @@ def current(log: DataFrame, key: str = "ts", order: list[str] | None = None) ->
     return log.groupBy(F.col(key).alias("_key")).agg(last.alias("_row")).select("_row.*")
 
 
+POINTER = "current"  # names the folder that holds
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    at, fs = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(at):
+        return None
+    with_lines = spark.sparkContext._jvm.java.io.BufferedReader(spark.sparkContext._jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
+    try:
+        return with_lines.readLine()
+    finally:
+        with_lines.close()
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The log at path; none there: an empty one. Keys may repeat in the log, never in a view of it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    """The ledger at path; none there: an empty one. Keys may repeat in a log, never in a view of it."""
+    at, fs = _fs(spark, path)
+    if not fs.exists(at):
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(path)
+    version = _version(spark, path)
+    return spark.read.schema(SCHEMA).parquet(f"{path}/{version}" if version else path)
 
 
 def save(entries: DataFrame, path: str) -> None:
-    """Rewrites the ledger, sorted by key: a new folder first, which then takes the old one's place."""
+    """Rewrites the ledger, sorted by key. The new version is a folder of its own; then the pointer to it replaces the old
+    pointer at once. A failure before that leaves the old ledger as it was. The version before stays for its readers."""
     bad = entries.where(~F.col("status").isin(*STATUSES)).select("ts").limit(1).collect()
     twice = entries.groupBy("ts").count().where("count > 1").select("ts").limit(1).collect()
     if bad or twice:
         raise ValueError(f"ledger: {'unknown status' if bad else 'duplicate entry'} at {(bad or twice)[0]['ts']}")
     spark, jvm = entries.sparkSession, entries.sparkSession.sparkContext._jvm
-    entries.orderBy("ts").write.mode("overwrite").parquet(path + ".new")
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    before, name = _version(spark, path), f"v-{uuid.uuid4().hex}"
+    entries.orderBy("ts").write.parquet(f"{path}/{name}")
+    new, fs = _fs(spark, f"{path}/{POINTER}.{name}")
+    out = fs.create(new)
+    out.write(bytearray(name.encode()))
+    out.close()
+    swap = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    swap[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    target = _fs(spark, f"{path}/{POINTER}")[0]
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, target, swap)
+    for x in fs.listStatus(_fs(spark, path)[0]):
+        if x.isDirectory() and x.getPath().getName() not in (name, before):
+            fs.delete(x.getPath(), True)
 
 
 def append(log: DataFrame, changes: DataFrame) -> DataFrame:
@@ -75,6 +106,64 @@ def done_refusals(args: DataFrame, value_edges: DataFrame, entries: DataFrame) -
     return deps.join(done, "needs", "left_anti").join(args.select(F.col("rel").alias("needs")), "needs", "left_anti").select("rel", "needs")
 
 
+def upsert(entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """The entries with rows in the place of those of the same ts."""
+    return entries.join(rows.select("ts"), "ts", "left_anti").unionByName(rows.select(*entries.columns))
+
+
+def start(entries: DataFrame, args: DataFrame) -> DataFrame:
+    """Entries of args (rel) as they are when work on them starts: in progress, with all that was recorded before. Ask
+    start_refusals first."""
+    old = entries.withColumnRenamed("ts", "rel")
+    return args.select("rel").distinct().join(old, "rel", "left").withColumn("status", F.lit("in_progress")).withColumnRenamed("rel", "ts").select(*entries.columns)
+
+
+def mark(entries: DataFrame, args: DataFrame, status: str, blobs: DataFrame, base: str, now: Column, module: str | None = None, reason: str | None = None) -> DataFrame:
+    """Entries of args (rel) that are skipped (with a reason) or replaced (by a module): nothing of an earlier port stays.
+    blobs (path, blob): contents now."""
+    if status not in ("skipped", "replaced"):
+        raise ValueError(f"{status} is not a mark")
+    own = args.select(F.col("rel").alias("ts")).distinct().join(blobs.select(F.col("path").alias("ts"), "blob"), "ts", "left")
+    given = {"status": F.lit(status), "module": F.lit(module), "ported_at": now, "ts_base": F.lit(base), "notes": F.lit(reason), "ts_blobs": F.when(F.col("blob").isNotNull(), F.create_map("ts", "blob")).otherwise(F.create_map())}
+    return _filled(own, given, entries)
+
+
+def done(entries: DataFrame, args: DataFrame, targets: DataFrame, symbols: DataFrame, covers: DataFrame, given: DataFrame, blobs: DataFrame, base: str, now: Column, verified: bool = False, notes: str | None = None) -> DataFrame:
+    """Entries of args (rel) as ported or verified. Ask done_refusals, unknown_tests and check.missing_types first.
+
+    targets (rel, rust, module); symbols (rel, name, item; see resolve.map_exports), null items left out; covers (test,
+    rel) of the graph; given (rel, test, provenance): tests named now. Tests recorded before stay. A test that the graph
+    doesn't show to cover the file is kept apart, and one named now as a test is dropped if it doesn't cover it."""
+    mine = args.select("rel").distinct()
+    shown = covers.select("rel", "test").distinct()
+    named = given.join(mine, "rel", "left_semi").where("provenance").select("rel", "test").unionByName(given.where("not provenance").select("rel", "test").join(shown, ["rel", "test"], "left_semi"))
+    tests = split_tests(mine, entries, covers, named).withColumnRenamed("rel", "ts")
+    maps = symbols.where("item is not null").groupBy(F.col("rel").alias("ts")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "item")))).alias("symbols"))
+    none = F.array().cast("array<string>")
+    out = mine.withColumnRenamed("rel", "ts").join(targets.select(F.col("rel").alias("ts"), "rust", "module"), "ts", "left").join(tests, "ts", "left").join(maps, "ts", "left")
+    out = out.withColumn("tests", F.coalesce("tests", none)).withColumn("test_provenance", F.coalesce("test_provenance", none)).withColumn("symbols", F.coalesce("symbols", F.create_map().cast("map<string,string>")))
+    paths = tracked_paths(out).join(blobs, "path").groupBy("ts").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("path", "blob")))).alias("ts_blobs"))
+    out = out.join(paths, "ts", "left").join(entries.select("ts", F.col("notes").alias("_notes")), "ts", "left")
+    given_ = {"status": F.lit("verified" if verified else "ported"), "ported_at": now, "ts_base": F.lit(base), "notes": F.coalesce(F.lit(notes), F.col("_notes")), "ts_blobs": F.coalesce("ts_blobs", F.create_map().cast("map<string,string>"))}
+    return _filled(out, given_, entries)
+
+
+def _filled(rows: DataFrame, given: dict[str, Column], entries: DataFrame) -> DataFrame:
+    """rows in the columns of entries: as given, else as they are in rows, else null."""
+    kind = {f.name: f.dataType for f in entries.schema.fields}
+    own = lambda c: given.get(c, F.col(c) if c in rows.columns else F.lit(None))
+    return rows.select(*[own(c).cast(kind[c]).alias(c) for c in entries.columns])
+
+
+def unknown_tests(given: DataFrame, tests: DataFrame, existing: DataFrame, packages_dir: str, markers: list[str]) -> DataFrame:
+    """test, reason: of given (test, provenance), tests that the graph lacks, and provenance that is no existing test file
+    of the workspace. tests (test) of the graph; existing (path)."""
+    marked = reduce(lambda a, b: a | b, (F.col("test").contains(m) for m in markers), F.lit(False))
+    off = given.where("not provenance").join(tests.select("test"), "test", "left_anti").select("test", F.lit("not a test of the graph").alias("reason"))
+    here = existing.select(F.col("path").alias("test")).where(F.col("test").startswith(packages_dir.rstrip("/") + "/") & marked)
+    return off.unionByName(given.where("provenance").join(here, "test", "left_anti").select("test", F.lit("not an existing test").alias("reason"))).distinct()
+
+
 def split_tests(args: DataFrame, entries: DataFrame, covers: DataFrame, given: DataFrame) -> DataFrame:
     """rel, tests, test_provenance: the tests known for a file before and those given now (rel, test), split by whether
     the graph says that they cover it (covers: test, rel)."""

@@ -39,11 +39,11 @@ def rule_hits(rules: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def missing_types(entries: DataFrame, type_names: DataFrame, items: DataFrame, batch: DataFrame) -> DataFrame:
-    """rel, dst, name: names that files of the batch (rel) import type-only from files that are not done, which their
-    target has not declared yet. type_names (rel, dst, name), items (rel, item)."""
+    """rel, dst, name: names that files of the batch (rel) import type-only from files that are neither done nor in the
+    batch, which their target has not declared yet. type_names (rel, dst, name), items (rel, item)."""
     done = entries.where(is_done(F.col("status"))).select(F.col("ts").alias("dst"))
     need = type_names.join(batch.select("rel"), "rel", "left_semi").join(done, "dst", "left_anti").join(batch.select(F.col("rel").alias("dst")), "dst", "left_anti")
-    return need.join(items.select(F.col("rel").alias("dst"), F.col("item").alias("name")), ["dst", "name"], "left_anti").select("rel", "dst", "name")
+    return need.join(items.select(F.col("rel").alias("dst"), F.col("item").alias("name")), ["dst", "name"], "left_anti").select("rel", "dst", "name").distinct()
 
 
 def findings(entries: DataFrame, graph_files: DataFrame, present: DataFrame, value_edges: DataFrame, targets: DataFrame, items: DataFrame, exports: DataFrame, tests: DataFrame, uses: DataFrame, rules: DataFrame, declared: DataFrame | None = None) -> DataFrame:
