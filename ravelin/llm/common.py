@@ -109,6 +109,19 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], fine: Column
     return ranked.join(offsets, keys).withColumn(out, F.col("_rv_before") + F.col("_rv_rn") - 1).drop(*keys, "_rv_before", "_rv_rn")
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system: workers stay, and the next stage may be another one's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def text_slices(batches, ids: int, text: int, most: int = 3_000_000):
     """(ids, texts) lists from Arrow batches, cut at about `most` bytes of text; null texts become ''."""
     import numpy as np
@@ -122,3 +135,4 @@ def text_slices(batches, ids: int, text: int, most: int = 3_000_000):
             part = batch.slice(at, stop - at)
             yield part.column(ids).to_pylist(), ["" if x is None else x for x in part.column(text).to_pylist()]
             at = stop
+    give_back()

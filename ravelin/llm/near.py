@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import stash, text_slices
+from ravelin.llm.common import give_back, stash, text_slices
 from ravelin.llm.components import components
-from ravelin.llm.simhash import fingerprint, near_links
+from ravelin.llm.simhash import fingerprint, near_links, shingle_hashes
 from ravelin.llm.tokens import gather
 
 SHINGLE, BANDS, ROWS, SEED = 5, 20, 5, 42
@@ -25,16 +25,8 @@ PIECE = 4096  # shingles of a text whose MinHash values are computed at once
 
 def shingles(text: str, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of the shingles of a whole text; the whole sequence is the shingle of a short text."""
-    import xxhash
-
     data = b" ".join(text.encode().lower().split())
-    if not data:
-        return np.zeros(0, dtype=np.uint64)
-    blanks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
-    starts = [0, *(blanks + 1).tolist()]
-    ends = [*blanks.tolist(), len(data)][shingle - 1 :] or [len(data)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(data[s:e], SEED) for s, e in zip(starts, ends, strict=False)), dtype=np.uint64, count=len(ends)))
+    return np.unique(np.concatenate(list(shingle_hashes(data, shingle)))) if data else np.zeros(0, dtype=np.uint64)
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -115,6 +107,8 @@ def _forest(tenths: int):
             queue += found.tolist()
             a += [rep[at]] * len(found)
             b += rep[found].tolist()
+        del sets, names, flat
+        give_back()
         return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
 
     return run

@@ -128,7 +128,7 @@ def _packer(vocabulary: str, end_id: int, window: int, specials: bool):
                 packer.add(key, ids[stop - size : stop])
             yield _table([(*r, None) for r in packer.rows(base)], more)
         left = [(key, start, len(ids), None, total, base + i, 0, None, ids.astype("<u4").tobytes()) for i, own in enumerate(packer.take_open()) for key, start, ids, total in own]
-        for at in range(0, len(left), 10_000):
+        for at in range(0, len(left), 2_000):
             yield _table(left[at : at + 10_000], more)
 
     return run

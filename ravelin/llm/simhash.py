@@ -22,21 +22,31 @@ SEED, SHINGLE, DISTANCE, BLOCKS, AGREE = 42, 4, 4, 7, 3
 SMALL, TILE = 32, 2048
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a whole text: 0 without words; the whole sequence is the shingle of a short text."""
+def shingle_hashes(data: bytes, shingle: int, most: int = 65_536):
+    """The XXH64 values of the shingles of space-joined words, in arrays of at most `most`."""
     import xxhash
 
+    digest = xxhash.xxh64_intdigest
+    blanks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
+    ends = np.append(blanks, len(data))[shingle - 1 :]
+    if not len(ends):
+        ends = np.array([len(data)])
+    starts = np.append(0, blanks + 1)[: len(ends)]
+    for at in range(0, len(ends), most):
+        pairs = zip(starts[at : at + most].tolist(), ends[at : at + most].tolist(), strict=True)
+        yield np.array([digest(data[s:e], SEED) for s, e in pairs], dtype="<u8")
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a whole text: 0 without words; the whole sequence is the shingle of a short text."""
     data = b" ".join(text.encode().lower().split())
     if not data:
         return 0
-    blanks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
-    starts = [0, *(blanks + 1).tolist()]
-    ends = [*blanks.tolist(), len(data)][shingle - 1 :] or [len(data)]
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, len(ends), 65_536):
-        hashes = [digest(data[s:e], SEED) for s, e in zip(starts[at:], ends[at : at + 65_536], strict=False)]
-        votes += np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(ends), bitorder="little").view("<u8")[0])
+    n, votes = 0, np.zeros(64, dtype=np.int64)
+    for hashes in shingle_hashes(data, shingle):
+        n += len(hashes)
+        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
 def _prints(batches):

@@ -20,7 +20,7 @@ EDGE = re.compile(r"(?<=\S) (?=\S)")
 MARK = "\x02"
 #: Between these both vocabularies always cut, so what follows a word is a unit of its own.
 EDGE_OF_WORD = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
-MOST_UNITS, MOST_IDS = 1_000_000, 8_000_000  # kept by a worker; beyond either it starts anew with the next slice
+MOST_UNITS, MOST_IDS = 300_000, 3_000_000  # kept by a worker; beyond either it starts anew with the next slice
 
 
 def gather(index: np.ndarray, starts: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> np.ndarray:
