@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravelin.common import settle
 from ravelin.functions.paths import directory, module_of
 from ravelin.operators.graph import downstream_counts
 from ravelin.operators.predicates import is_done
@@ -50,22 +51,31 @@ def tests_enabled(units: DataFrame, tests: DataFrame, unit_of: DataFrame, record
     return touch.where("n is null or (n = 1 and only = unit)").select("unit", "test")
 
 
-def rank(units: DataFrame) -> DataFrame:
-    """units (unit, pending_types, tests_enabled, unlocks, downstream, lines) with `rank` from 1. The candidates are few
-    (units that are ready), so one ordering over all of them is fine."""
-    order = Window.orderBy("pending_types", F.desc(F.least("tests_enabled", F.lit(1))), F.desc("unlocks"), F.desc("downstream"), F.desc("tests_enabled"), "lines", "unit")
-    return units.withColumn("rank", F.row_number().over(order))
+def _order():
+    return ["pending_types", F.desc(F.least("tests_enabled", F.lit(1))), F.desc("unlocks"), F.desc("downstream"), F.desc("tests_enabled"), "lines", "unit"]
 
 
-def candidates(progress: DataFrame, value_edges: DataFrame, type_edges: DataFrame, lines: DataFrame, enabled: DataFrame | None = None) -> DataFrame:
-    """The ready units, ranked. lines (unit, lines); enabled (unit, test)."""
+def rank(units: DataFrame, top: int | None = None) -> DataFrame:
+    """units (unit, pending_types, tests_enabled, unlocks, downstream, lines) with `rank` from 1; the first `top` only, if
+    given. All units are sorted by ranges, and each range is numbered from where the one before ends."""
+    if top is not None:
+        return units.orderBy(*_order()).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*_order())))  # top rows
+    at = settle(units.orderBy(*_order()).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = at.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    return at.join(before, part == F.col("_p")).withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_p", "_before")
+
+
+def candidates(progress: DataFrame, value_edges: DataFrame, type_edges: DataFrame, lines: DataFrame, enabled: DataFrame | None = None, top: int | None = None) -> DataFrame:
+    """The ready units, ranked, or the first `top` of them. lines (unit, lines); enabled (unit, test)."""
     ready = ready_units(progress, value_edges)
     out = pending_types(ready, type_edges, progress).join(unlocks(ready, value_edges, progress), "unit").join(downstream_counts(value_edges).select(F.col("node").alias("unit"), "downstream"), "unit", "left").join(lines, "unit", "left")
     if enabled is not None:
         out = out.join(enabled.groupBy("unit").agg(F.count_distinct("test").alias("tests_enabled")), "unit", "left")
     else:
         out = out.withColumn("tests_enabled", F.lit(0).cast("long"))
-    return rank(out.na.fill(0, ["downstream", "lines", "tests_enabled"]))
+    return rank(out.na.fill(0, ["downstream", "lines", "tests_enabled"]), top)
 
 
 BATCH = "rank long, unit {kind}, seed_rank long"
@@ -84,6 +94,8 @@ def _first_fit(max_files: int, max_lines: int):
             files, lines = seed.files, seed.lines
             own = [seed]
             for j in range(i + 1, len(rows)):
+                if files >= max_files or lines >= max_lines:
+                    break
                 if j not in used and files + rows[j].files <= max_files and lines + rows[j].lines <= max_lines:
                     used.add(j)
                     files, lines = files + rows[j].files, lines + rows[j].lines
@@ -106,24 +118,19 @@ def batches(ranked: DataFrame, max_files: int, max_lines: int, count: int | None
 
 
 def wave(batched: DataFrame, footprints: DataFrame, count: int | None = None) -> DataFrame:
-    """batch: accepted in order if it conflicts with none accepted before. footprints (batch, path, kind): two batches
-    conflict on a path that one writes and the other writes or registers; both may register it. The list is short: one
-    row for each path of a batch, folded in one task."""
-    asked = footprints.join(batched.select("batch").distinct(), "batch", "left_semi")
-
-    def fold(pdf):
-        taken, out = {}, []
-        for batch, own in pdf.sort_values("batch").groupby("batch"):
-            mine = {(r.path, r.kind) for r in own.itertuples()}
-            if all(k == "registers" and taken.get(p) == {"registers"} for p, k in mine if p in taken):
-                for p, k in mine:
-                    taken.setdefault(p, set()).add(k)
-                out.append(int(batch))
-            if count is not None and len(out) == count:
-                break
-        return type(pdf)({"batch": out}).astype("int64")
-
-    return asked.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fold, "batch long")
+    """batch: accepted in order if it conflicts with none accepted before, see conflicts(); the first `count`, if given.
+
+    In each round all batches that wait for no earlier one are accepted, and those that conflict with them go."""
+    left = settle(batched.select("batch").distinct())
+    pairs = settle(conflicts(footprints.join(left, "batch", "left_semi")))
+    taken = left.limit(0)
+    while not left.isEmpty():
+        waits = pairs.join(left.withColumnRenamed("batch", "a"), "a", "left_semi").select(F.col("b").alias("batch")).distinct()
+        free = settle(left.join(waits, "batch", "left_anti"))
+        gone = pairs.join(free.withColumnRenamed("batch", "a"), "a", "left_semi").select(F.col("b").alias("batch")).distinct()
+        taken = taken.unionByName(free)
+        left = settle(left.join(free, "batch", "left_anti").join(gone, "batch", "left_anti"))
+    return taken.orderBy("batch").limit(count) if count is not None else taken
 
 
 def conflicts(footprints: DataFrame) -> DataFrame:

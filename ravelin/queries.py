@@ -1,16 +1,18 @@
 """The library's operators on the driver's tables, each with equivalent SQL.
 
-The tables hold no source trees, so they stand in for them. A part (or supplier) depends on the next one of the same
-order; a dependency of parts counts if at least two orders confirm it (dep_edges and catch_up_fixpoint take all), one of
-suppliers if it has at least twice the average support. Lines that are not final (return flag N) are type imports.
-p_brand is a part's package, p_type its directory, p_size its lines. `events` is the ledger's log: a user is an entry,
-an event type a status. `documents` at two revisions are snapshots: at the head, English articles are edited, source
-src3 is gone and source src5 is new.
+The tables hold no source trees, so they stand in for them, whole. A part depends on the next one of the same order;
+lines that are not final (return flag N) are type imports. A row depends on the rows that it refers to: an order on its
+parts, suppliers and customer, these on their nation, a nation on its region. For units, levels and planning, a file is
+what a user does of one kind in six events one after the other, and depends on the next such file, by type only if the
+event's value is below 20; the value of a file's last event is its status, files of six events belong to a test.
+`events` is also the ledger's log: a user is an entry, an event type a status. `documents` at two revisions are
+snapshots: at the head, English articles are edited, source src3 is gone and source src5 is new.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,32 +51,55 @@ IMPORTS = """imports AS (
   SELECT * FROM (SELECT {key} AS src, lead({key}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst,
     CASE WHEN l_returnflag = 'N' THEN 'type' ELSE 'value' END AS kind, l_linestatus || l_linenumber AS name FROM lineitem) WHERE src <> dst)"""
 PART_EDGES = IMPORTS.format(key="l_partkey") + """,
-edges AS (SELECT src, dst, bool_and(kind = 'type') AS type_only FROM imports GROUP BY src, dst HAVING count(*) >= 2),
+part_edges AS (SELECT src, dst, bool_and(kind = 'type') AS type_only FROM imports GROUP BY src, dst)"""
+REFERENCES = """value_edges AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem
+UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+EVENTS = """numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+ev AS (SELECT *, user_id * 1000 + seq // 6 AS run, (user_id * 1000 + seq // 6) * 8 + CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS node FROM numbered),
+steps AS (SELECT node AS src, lead(node) OVER (PARTITION BY user_id ORDER BY seq) AS dst, CASE WHEN value < 20 THEN 'type' ELSE 'value' END AS kind FROM ev),
+edges AS (SELECT src, dst, bool_and(kind = 'type') AS type_only FROM steps WHERE src <> dst GROUP BY src, dst),
 value_edges AS (SELECT src, dst FROM edges WHERE NOT type_only)"""
-SUPPLIER_EDGES = IMPORTS.format(key="l_suppkey") + """,
-support AS (SELECT src, dst, bool_and(kind = 'type') AS type_only, count(*) AS n FROM imports GROUP BY src, dst),
-value_edges AS (SELECT src, dst FROM support WHERE NOT type_only AND n >= 2 * (SELECT avg(n) FROM support))"""
 CLOSURE = "paths AS (SELECT src, dst FROM value_edges UNION SELECT p.src, e.dst FROM paths p JOIN value_edges e ON p.dst = e.src)"
 UNITS = """nodes AS (SELECT src AS node FROM value_edges UNION SELECT dst FROM value_edges),
 unit_of AS (SELECT n.node, least(n.node, coalesce(min(p.dst), n.node)) AS unit FROM nodes n
   LEFT JOIN (SELECT p.src, p.dst FROM paths p JOIN paths q ON p.src = q.dst AND p.dst = q.src) p ON p.src = n.node GROUP BY n.node)"""
 UNIT_EDGES = "unit_edges AS (SELECT DISTINCT a.unit AS src, b.unit AS dst FROM value_edges e JOIN unit_of a ON e.src = a.node JOIN unit_of b ON e.dst = b.node WHERE a.unit <> b.unit)"
+KINDS = ("click", "purchase", "error", "signup")  # any other: 4
 
 
-def part_edges(spark, d, least: int = 2):
-    """src, dst, type_only. The SQL asks for two orders; queries without SQL can take every edge (least = 1)."""
-    x = _imports(spark, d, "l_partkey").groupBy("src", "dst").agg(F.bool_and(F.col("kind") == "type").alias("type_only"), F.count(F.lit(1)).alias("n"))
-    return x.where(F.col("n") >= least).select("src", "dst", "type_only")
+def part_edges(spark, d):
+    """src, dst, type_only."""
+    return _imports(spark, d, "l_partkey").groupBy("src", "dst").agg(F.bool_and(F.col("kind") == "type").alias("type_only"))
 
 
 def part_value_edges(spark, d):
     return part_edges(spark, d).where("not type_only").select("src", "dst")
 
 
-def supplier_value_edges(spark, d):
-    x = _imports(spark, d, "l_suppkey").groupBy("src", "dst").agg(F.bool_and(F.col("kind") == "type").alias("type_only"), F.count(F.lit(1)).alias("n"))
-    least = x.agg((2 * F.avg("n")).alias("least"))
-    return x.join(F.broadcast(least), F.col("n") >= F.col("least")).where("not type_only").select("src", "dst")  # one row
+def reference_edges(spark, d):
+    """src, dst: which row refers to which, by their names."""
+    pairs = (("lineitem", "o", "l_orderkey", "p", "l_partkey"), ("lineitem", "o", "l_orderkey", "s", "l_suppkey"), ("orders", "o", "o_orderkey", "c", "o_custkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey"))
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
+    return reduce(DataFrame.unionByName, (table(spark, d, t).select(name(a, x).alias("src"), name(b, y).alias("dst")) for t, a, x, b, y in pairs)).distinct()
+
+
+def event_files(spark, d):
+    """Every event with the file (node) and the run of six events that it belongs to, and its place in its user's."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, i) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
+    x = table(spark, d, "events").withColumn("seq", F.row_number().over(order) - 1)
+    x = x.withColumn("run", F.col("user_id") * 1000 + F.floor(F.col("seq") / 6))
+    return x.withColumn("node", F.col("run") * 8 + kind)
+
+
+def event_edges(spark, d):
+    """src, dst, type_only between the files of event_files."""
+    x = event_files(spark, d).select(F.col("node").alias("src"), F.lead("node").over(Window.partitionBy("user_id").orderBy("seq")).alias("dst"), (F.col("value") < 20).alias("type"))
+    return x.where("src <> dst").groupBy("src", "dst").agg(F.bool_and("type").alias("type_only"))
+
+
+def event_value_edges(spark, d):
+    return event_edges(spark, d).where("not type_only").select("src", "dst")
 
 
 @query(f"WITH {IMPORTS.format(key='l_partkey')} SELECT src, dst, bool_and(kind = 'type') AS type_only, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM imports GROUP BY src, dst")
@@ -82,51 +107,61 @@ def dep_edges(spark, d):
     return graph.dependency_edges(_imports(spark, d, "l_partkey")).withColumn("names", F.array_join("names", ","))
 
 
-@query(f"WITH {PART_EDGES} SELECT src, dst FROM value_edges")
+@query(f"WITH {PART_EDGES} SELECT src, dst FROM part_edges WHERE NOT type_only")
 def value_edges(spark, d):
     return part_value_edges(spark, d)
 
 
-@query(f"WITH {PART_EDGES} SELECT src, dst FROM edges WHERE type_only")
+@query(f"WITH {PART_EDGES} SELECT src, dst FROM part_edges WHERE type_only")
 def type_only_edges(spark, d):
     return part_edges(spark, d).where("type_only").select("src", "dst")
 
 
-@query(f"WITH RECURSIVE {PART_EDGES}, {CLOSURE} SELECT src, dst FROM paths")
+@query(f"WITH RECURSIVE {REFERENCES}, {CLOSURE} SELECT src, dst FROM paths")
 def transitive_closure(spark, d):
-    return graph.closure(part_value_edges(spark, d))
+    return graph.closure(reference_edges(spark, d))
 
 
-@query(f"WITH RECURSIVE {PART_EDGES}, {CLOSURE} SELECT dst AS node, count(*) AS downstream FROM paths WHERE src <> dst GROUP BY dst")
+@query(f"WITH RECURSIVE {REFERENCES}, {CLOSURE} SELECT dst AS node, count(*) AS downstream FROM paths WHERE src <> dst GROUP BY dst")
 def downstream_count(spark, d):
-    return graph.downstream_counts(part_value_edges(spark, d))
+    return graph.downstream_counts(reference_edges(spark, d))
+
 
+@query(f"WITH RECURSIVE {REFERENCES}, hit AS (SELECT DISTINCT src AS node FROM value_edges WHERE dst = 's1' UNION SELECT e.src FROM hit h JOIN value_edges e ON e.dst = h.node) SELECT node FROM hit WHERE node <> 's1'")
+def downstream_of_one(spark, d):
+    return graph.downstream_of(reference_edges(spark, d), spark.range(1).select(F.lit("s1").alias("node")))
 
-@query(f"WITH RECURSIVE {SUPPLIER_EDGES}, {CLOSURE}, {UNITS} SELECT node, unit FROM unit_of")
+
+@query(f"WITH RECURSIVE {REFERENCES}, seeds AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT'), hit AS (SELECT node FROM seeds UNION SELECT e.dst FROM hit h JOIN value_edges e ON e.src = h.node) SELECT node FROM hit")
+def reachable_rows(spark, d):
+    seeds = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    return graph.reachable(reference_edges(spark, d), seeds)
+
+
+@query(f"WITH RECURSIVE {EVENTS}, {CLOSURE}, {UNITS} SELECT node, unit FROM unit_of")
 def scc_units(spark, d):
-    return graph.units(supplier_value_edges(spark, d))
+    return graph.units(event_value_edges(spark, d))
 
 
-@query(f"WITH RECURSIVE {SUPPLIER_EDGES}, {CLOSURE}, {UNITS} SELECT unit, count(*) AS files FROM unit_of GROUP BY unit HAVING count(*) > 1 ORDER BY files DESC, unit LIMIT 10")
+@query(f"WITH RECURSIVE {EVENTS}, {CLOSURE}, {UNITS} SELECT unit, count(*) AS files FROM unit_of GROUP BY unit HAVING count(*) > 1 ORDER BY files DESC, unit LIMIT 10")
 def cycle_report(spark, d):
-    x = graph.units(supplier_value_edges(spark, d)).groupBy("unit").agg(F.count(F.lit(1)).alias("files")).where("files > 1")
+    x = graph.units(event_value_edges(spark, d)).groupBy("unit").agg(F.count(F.lit(1)).alias("files")).where("files > 1")
     return x.orderBy(F.desc("files"), "unit").limit(10)
 
 
-def _unit_graph(spark, d, edges: DataFrame | None = None):
-    edges = settle(part_value_edges(spark, d)) if edges is None else edges
+def _unit_graph(edges: DataFrame):
     unit_of = settle(graph.units(edges))
     return unit_of, settle(graph.unit_edges(edges, unit_of))
 
 
-LEVELS = f"""WITH RECURSIVE {PART_EDGES}, {CLOSURE}, {UNITS}, {UNIT_EDGES},
+LEVELS = f"""WITH RECURSIVE {EVENTS}, {CLOSURE}, {UNITS}, {UNIT_EDGES},
 climb AS (SELECT DISTINCT unit AS node, 0 AS level FROM unit_of UNION SELECT e.src, c.level + 1 FROM climb c JOIN unit_edges e ON e.dst = c.node),
 levels AS (SELECT node, max(level) AS level FROM climb GROUP BY node)"""
 
 
 @query(f"{LEVELS} SELECT node, CAST(level AS BIGINT) AS level FROM levels")
 def unit_levels(spark, d):
-    unit_of, edges = _unit_graph(spark, d)
+    unit_of, edges = _unit_graph(settle(event_value_edges(spark, d)))
     return graph.levels(edges, unit_of.select(F.col("unit").alias("node")))
 
 
@@ -178,26 +213,45 @@ def overall_progress(spark, d):
 # Planning
 
 
-def _plan_inputs(spark, d, least: int = 2):
-    edges = settle(part_edges(spark, d, least))  # several operators read it
-    unit_of_some, value = _unit_graph(spark, d, edges.where("not type_only").select("src", "dst"))
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    unit_of = parts.join(unit_of_some, "node", "left").select("node", F.coalesce("unit", "node").alias("unit"))
+FILE_STATUS = (("verified", 90), ("ported", 60), ("skipped", 50), ("in_progress", 40))  # from that value of the last event on
+
+
+def event_entries(spark, d):
+    """ts, status, value: the files that are recorded, by their last event."""
+    last = event_files(spark, d).groupBy(F.col("node").alias("ts")).agg(F.max_by("value", "seq").alias("value"))
+    return last.withColumn("status", F.coalesce(*[F.when(F.col("value") >= v, s) for s, v in FILE_STATUS])).where("status is not null")
+
+
+def event_tests(spark, d):
+    """test, dep: a run's clicks and purchases are covered by a test. Some tests are claimed, some are binary."""
+    x = event_files(spark, d).where("event_type in ('click', 'purchase')").select(F.col("run").alias("test"), F.col("node").alias("dep")).distinct()
+    return x.where("test % 7 <> 0"), x.where("test % 5 = 0").select("test").distinct()
+
+
+def _plan(edges: DataFrame, files: DataFrame, entries: DataFrame, stale: DataFrame):
+    edges = settle(edges)  # several operators read it
+    unit_of_some, value = _unit_graph(edges.where("not type_only").select("src", "dst"))
+    unit_of = settle(files.join(unit_of_some, "node", "left").select("node", F.coalesce("unit", "node").alias("unit")))
     types = graph.unit_edges(edges.where("type_only").select("src", "dst"), unit_of).join(value, ["src", "dst"], "left_anti")
-    # an entry whose last event has a low value counts as stale
-    stale = entries_of(spark, d).where("status <> 'in_progress' and value < 10").select("ts")
-    progress = settle(planning.unit_progress(unit_of, entries_of(spark, d), stale))
-    return unit_of, value, types, progress
+    return unit_of, value, types, settle(planning.unit_progress(unit_of, entries, stale))
 
 
-PLAN = f"""WITH RECURSIVE {PART_EDGES}, {CLOSURE}, {UNITS.replace('unit_of AS', 'linked AS')},
-unit_of AS (SELECT p_partkey AS node, coalesce(unit, p_partkey) AS unit FROM part LEFT JOIN linked ON node = p_partkey), {UNIT_EDGES}, {ENTRIES},
+def _plan_inputs(spark, d):
+    entries = settle(event_entries(spark, d))
+    return _plan(event_edges(spark, d), event_files(spark, d).select("node").distinct(), entries, entries.where("value >= 60 and value < 65").select("ts"))
+
+
+FILES = "files AS (SELECT node, count(*) * 10 AS lines, arg_max(value, seq) AS last FROM ev GROUP BY node)"
+PLAN = f"""WITH RECURSIVE {EVENTS}, {CLOSURE}, {UNITS.replace('unit_of AS', 'linked AS')}, {FILES},
+unit_of AS (SELECT f.node, coalesce(unit, f.node) AS unit FROM files f LEFT JOIN linked USING (node)), {UNIT_EDGES},
+entries AS (SELECT node AS ts, last AS value, CASE WHEN last >= 90 THEN 'verified' WHEN last >= 60 THEN 'ported' WHEN last >= 50 THEN 'skipped' ELSE 'in_progress' END AS status FROM files WHERE last >= 40),
 type_edges AS (SELECT DISTINCT a.unit AS src, b.unit AS dst FROM edges e JOIN unit_of a ON e.src = a.node JOIN unit_of b ON e.dst = b.node WHERE type_only AND a.unit <> b.unit EXCEPT SELECT src, dst FROM unit_edges),
-progress AS (SELECT unit, bool_and(coalesce(status <> 'in_progress', false) AND NOT coalesce(status <> 'in_progress' AND value < 10, false)) AS done,
+progress AS (SELECT unit, bool_and(coalesce(status <> 'in_progress', false) AND NOT coalesce(value >= 60 AND value < 65, false)) AS done,
   bool_and(coalesce(status <> 'in_progress', false)) AS recorded, bool_or(coalesce(status = 'in_progress', false)) AS claimed FROM unit_of LEFT JOIN entries ON node = ts GROUP BY unit),
 ready AS (SELECT unit FROM progress p WHERE NOT done AND NOT claimed AND NOT EXISTS (SELECT 1 FROM unit_edges e JOIN progress q ON e.dst = q.unit WHERE e.src = p.unit AND NOT q.done)),
 pend AS (SELECT r.unit, count(DISTINCT q.unit) AS pending_types FROM ready r LEFT JOIN type_edges t ON t.src = r.unit LEFT JOIN progress q ON q.unit = t.dst AND NOT q.recorded GROUP BY r.unit),
-unl AS (SELECT r.unit, (SELECT count(DISTINCT e.src) FROM unit_edges e JOIN progress p ON p.unit = e.src AND NOT p.done WHERE e.dst = r.unit AND NOT EXISTS (SELECT 1 FROM unit_edges f JOIN progress g ON g.unit = f.dst AND NOT g.done WHERE f.src = e.src AND f.dst <> r.unit)) AS unlocks FROM ready r)"""
+waiting AS (SELECT e.src, min(e.dst) AS unit, count(DISTINCT e.dst) AS n FROM unit_edges e JOIN progress p ON p.unit = e.src AND NOT p.done JOIN progress q ON q.unit = e.dst AND NOT q.done GROUP BY e.src),
+unl AS (SELECT r.unit, count(w.src) AS unlocks FROM ready r LEFT JOIN waiting w ON w.unit = r.unit AND w.n = 1 GROUP BY r.unit)"""
 
 
 @query(f"{PLAN} SELECT unit, done, recorded, claimed FROM progress")
@@ -223,19 +277,24 @@ def unlocks(spark, d):
     return planning.unlocks(planning.ready_units(progress, value), value, progress)
 
 
-def _ranked(spark, d):
+def _ranked(spark, d, top: int | None = None):
     unit_of, value, types, progress = _plan_inputs(spark, d)
-    part = table(spark, d, "part")
-    lines = unit_of.join(part.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("lines")), "node").groupBy("unit").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("files"))
-    ranked = planning.candidates(progress, value, types, lines.select("unit", "lines"))
-    return unit_of, ranked, lines
+    sizes = event_files(spark, d).groupBy("node").agg((F.count(F.lit(1)) * 10).alias("lines"))
+    lines = settle(unit_of.join(sizes, "node").groupBy("unit").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("files"), F.min("node").alias("first")))
+    tests, claimed = event_tests(spark, d)
+    recorded = event_entries(spark, d).where("status <> 'in_progress'").select(F.col("ts").alias("node"))
+    enabled = planning.tests_enabled(progress.select("unit"), tests, unit_of, recorded, claimed)
+    return unit_of, planning.candidates(progress, value, types, lines.select("unit", "lines"), enabled, top), lines
 
 
 RANKED = f"""{PLAN}, unit_paths AS (SELECT src, dst FROM unit_edges UNION SELECT p.src, e.dst FROM unit_paths p JOIN unit_edges e ON p.dst = e.src),
 down AS (SELECT dst AS unit, count(*) AS downstream FROM unit_paths GROUP BY dst),
-ranked AS (SELECT r.unit, pending_types, unlocks, coalesce(downstream, 0) AS downstream, lines, 0::BIGINT AS tests_enabled,
-  row_number() OVER (ORDER BY pending_types, unlocks DESC, coalesce(downstream, 0) DESC, lines, r.unit) AS rank
-  FROM ready r JOIN pend USING (unit) JOIN unl USING (unit) LEFT JOIN down USING (unit) JOIN (SELECT unit, CAST(sum(p_size) AS BIGINT) AS lines FROM unit_of JOIN part ON p_partkey = node GROUP BY unit) USING (unit))"""
+tests AS (SELECT DISTINCT run AS test, e.node AS dep, unit, e.node IN (SELECT ts FROM entries WHERE status <> 'in_progress') AS recorded FROM ev e JOIN unit_of u ON u.node = e.node WHERE event_type IN ('click', 'purchase') AND run % 7 <> 0 AND run % 5 <> 0),
+missing AS (SELECT test, count(DISTINCT unit) AS n, min(unit) AS unit FROM tests WHERE NOT recorded GROUP BY test),
+enabled AS (SELECT t.unit, count(DISTINCT t.test) AS tests_enabled FROM tests t LEFT JOIN missing m USING (test) WHERE m.n IS NULL OR (m.n = 1 AND m.unit = t.unit) GROUP BY t.unit),
+ranked AS (SELECT r.unit, pending_types, unlocks, coalesce(downstream, 0) AS downstream, lines, coalesce(tests_enabled, 0) AS tests_enabled,
+  row_number() OVER (ORDER BY pending_types, least(coalesce(tests_enabled, 0), 1) DESC, unlocks DESC, coalesce(downstream, 0) DESC, coalesce(tests_enabled, 0) DESC, lines, r.unit) AS rank
+  FROM ready r JOIN pend USING (unit) JOIN unl USING (unit) LEFT JOIN down USING (unit) LEFT JOIN enabled USING (unit) JOIN (SELECT unit, CAST(sum(lines) AS BIGINT) AS lines FROM unit_of JOIN files USING (node) GROUP BY unit) USING (unit))"""
 
 
 @query(f"{RANKED} SELECT unit, pending_types, unlocks, downstream, lines, tests_enabled, rank FROM ranked")
@@ -245,35 +304,51 @@ def rank_next(spark, d):
 
 @query(f"{RANKED} SELECT unit, rank FROM ranked ORDER BY rank LIMIT 3")
 def next_three(spark, d):
-    return _ranked(spark, d)[1].orderBy("rank").limit(3).select("unit", F.col("rank").cast("long").alias("rank"))
+    return _ranked(spark, d, 3)[1].select("unit", F.col("rank").cast("long").alias("rank"))
 
 
 def _batches(spark, d):
     _, ranked, lines = _ranked(spark, d)
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("unit"), F.col("p_type").alias("dir"), F.col("p_brand").alias("brand"))
-    x = ranked.join(lines.select("unit", "files"), "unit").join(part, "unit").select("rank", "unit", "dir", (F.col("pending_types") > 0).alias("stubs"), F.lit(False).alias("is_update"), "files", "lines")
-    return planning.batches(x, 6, 100), part
+    x = ranked.join(lines.select("unit", "files", (F.floor(F.col("first") / 8000) % 40).alias("dir")), "unit").select("rank", "unit", "dir", (F.col("pending_types") > 0).alias("stubs"), F.lit(False).alias("is_update"), "files", "lines")
+    return planning.batches(settle(x), 6, 100)
 
 
 @query()
 def batches(spark, d):
-    return _batches(spark, d)[0]
+    return _batches(spark, d)
 
 
 @query()
 def wave(spark, d):
-    batched, part = _batches(spark, d)
-    feet = batched.join(part, "unit").select("batch", F.explode(F.array(F.struct(F.col("unit").cast("string").alias("path"), F.lit("writes").alias("kind")), F.struct(F.col("brand").alias("path"), F.lit("registers").alias("kind")))).alias("f")).select("batch", "f.*")
-    return planning.wave(batched, feet)
+    """Each batch writes a file for each of its units and registers it with its user."""
+    feet = _batches(spark, d).select("batch", F.explode(F.array(F.struct((F.col("unit") % 4000).cast("string").alias("path"), F.lit("writes").alias("kind")), F.struct((F.floor(F.col("unit") / 8000) * 8).cast("string").alias("path"), F.lit("registers").alias("kind")))).alias("f")).select("batch", "f.*")
+    feet = settle(feet)
+    return planning.wave(feet.select("batch"), feet)
 
 
 @query()
 def catch_up_fixpoint(spark, d):
-    _, value, _, progress = _plan_inputs(spark, d, least=1)
+    stale = entries_of(spark, d).where("status <> 'in_progress' and value < 10").select("ts")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
+    _, value, _, progress = _plan(part_edges(spark, d), parts, entries_of(spark, d), stale)
+    return _catch_up(value, progress)
+
+
+def _catch_up(value, progress):
     wanted = progress.where("not done").select("unit", (~F.col("recorded")).alias("added"))
     return graph.catch_up(wanted, value, progress.where("recorded").select("unit"))
 
 
+@query(f"""{PLAN}, wanted AS (SELECT unit, NOT recorded AS added FROM progress WHERE NOT done),
+loose AS (SELECT DISTINCT e.src AS unit FROM unit_edges e WHERE e.dst NOT IN (SELECT unit FROM progress WHERE recorded) AND e.dst NOT IN (SELECT unit FROM wanted)),
+gone AS (SELECT unit FROM wanted WHERE added AND unit IN (SELECT unit FROM loose) UNION SELECT w.unit FROM gone g JOIN unit_edges e ON e.dst = g.unit JOIN wanted w ON w.unit = e.src AND w.added)
+SELECT unit, added FROM wanted WHERE unit NOT IN (SELECT unit FROM gone)""")
+def catch_up_units(spark, d):
+    """As catch_up_fixpoint, over the files of events."""
+    _, value, _, progress = _plan_inputs(spark, d)
+    return _catch_up(value, progress)
+
+
 @query("""WITH tests AS (SELECT conv_id AS test, turn AS dep FROM conversations), recorded AS (SELECT doc_id AS node FROM labels WHERE quality = 1)
 SELECT DISTINCT t.test, t.dep AS unit FROM tests t WHERE NOT EXISTS (SELECT 1 FROM tests u WHERE u.test = t.test AND u.dep <> t.dep AND u.dep NOT IN (SELECT node FROM recorded))""")
 def test_enablement(spark, d):
@@ -359,7 +434,7 @@ def lost_entries(spark, d):
     return change.lost_entries(mine, after, change.tracked_stale(mine, base), head)
 
 
-@query(f"WITH {PART_EDGES}, {ENTRIES} SELECT DISTINCT e.src AS ts, e.dst AS dep FROM value_edges e JOIN entries a ON a.ts = e.src WHERE a.status IN ('ported', 'verified') AND e.dst NOT IN (SELECT ts FROM entries WHERE status <> 'in_progress')")
+@query(f"WITH {PART_EDGES}, {ENTRIES} SELECT DISTINCT e.src AS ts, e.dst AS dep FROM part_edges e JOIN entries a ON a.ts = e.src WHERE a.status IN ('ported', 'verified') AND e.dst NOT IN (SELECT ts FROM entries WHERE status <> 'in_progress') AND NOT e.type_only")
 def unported_imports(spark, d):
     return change.unported_imports(entries_of(spark, d), part_value_edges(spark, d))
 

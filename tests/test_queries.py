@@ -42,6 +42,40 @@ def test_batches_hold_every_ready_unit_once_within_the_caps(spark):
     assert max(size.values()) <= 6
 
 
+def test_batches_and_wave_equal_a_walk_in_order(spark):
+    """First fit in the order of ranks within a directory and kind; then each batch that conflicts with none before."""
+    from ravelin.plans import planning
+
+    _, ranked, lines = queries._ranked(spark, SF)
+    size = {r["unit"]: r for r in lines.collect()}
+    rows = [(r["rank"], r["unit"], size[r["unit"]]["first"] // 8000 % 40, r["pending_types"] > 0, size[r["unit"]]["files"], size[r["unit"]]["lines"]) for r in sorted(ranked.collect(), key=lambda r: r["rank"])]
+    want, used = {}, set()
+    for rank, unit, *kind, files, n in rows:
+        if unit not in used:
+            used.add(unit)
+            want[unit] = rank
+            for _, other, *k, f, m in rows:
+                if other not in used and k == kind and files + f <= 6 and n + m <= 100:
+                    used.add(other)
+                    want[other] = rank
+                    files, n = files + f, n + m
+    found = queries.batches(spark, SF).collect()
+    assert {r["unit"]: r["seed_rank"] for r in found} == want and len(set(want.values())) < len(want)
+    number = {s: i for i, s in enumerate(sorted(set(want.values())), 1)}
+    assert all(r["batch"] == number[r["seed_rank"]] for r in found)
+    feet = {}
+    for r in found:
+        feet.setdefault(r["batch"], set()).update({(str(r["unit"] % 4000), "writes"), (str(r["unit"] // 8000 * 8), "registers")})
+    taken, accepted = [], []
+    for b in sorted(feet):
+        if not any(p == q and "writes" in (k, m) for own in taken for p, k in own for q, m in feet[b]):
+            taken.append(feet[b])
+            accepted.append(b)
+    assert sorted(r["batch"] for r in queries.wave(spark, SF).collect()) == accepted and len(accepted) < len(feet)
+    some = spark.createDataFrame([(b, p, k) for b, own in feet.items() for p, k in own], "batch long, path string, kind string")
+    assert [r["batch"] for r in planning.wave(some.select("batch"), some, 3).collect()] == accepted[:3]
+
+
 def test_catch_up_takes_every_edge(spark, tmp_path):
     import random
 
