@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ravelin.operators.predicates import has_target, is_done
 
@@ -151,8 +152,14 @@ def done(entries: DataFrame, args: DataFrame, targets: DataFrame, symbols: DataF
 def _filled(rows: DataFrame, given: dict[str, Column], entries: DataFrame) -> DataFrame:
     """rows in the columns of entries: as given, else as they are in rows, else null."""
     kind = {f.name: f.dataType for f in entries.schema.fields}
-    own = lambda c: given.get(c, F.col(c) if c in rows.columns else F.lit(None))
-    return rows.select(*[own(c).cast(kind[c]).alias(c) for c in entries.columns])
+
+    def own(c: str) -> Column:
+        found = given.get(c, F.col(c) if c in rows.columns else None)
+        if found is None:
+            return F.lit(None).cast(kind[c])
+        return found if isinstance(kind[c], (T.ArrayType, T.MapType)) else found.cast(kind[c])
+
+    return rows.select(*[own(c).alias(c) for c in entries.columns])
 
 
 def unknown_tests(given: DataFrame, tests: DataFrame, existing: DataFrame, packages_dir: str, markers: list[str]) -> DataFrame:

@@ -349,13 +349,14 @@ def catch_up_units(spark, d):
     return _catch_up(value, progress)
 
 
-@query("""WITH tests AS (SELECT conv_id AS test, turn AS dep FROM conversations), recorded AS (SELECT doc_id AS node FROM labels WHERE quality = 1)
+@query("""WITH tests AS (SELECT conv_id AS test, turn AS dep FROM conversations WHERE conv_id % 9 <> 0 AND conv_id % 4 <> 0), recorded AS (SELECT doc_id AS node FROM labels WHERE quality = 1)
 SELECT DISTINCT t.test, t.dep AS unit FROM tests t WHERE NOT EXISTS (SELECT 1 FROM tests u WHERE u.test = t.test AND u.dep <> t.dep AND u.dep NOT IN (SELECT node FROM recorded))""")
 def test_enablement(spark, d):
-    tests = table(spark, d, "conversations").select(F.col("conv_id").alias("test"), F.col("turn").alias("dep"))
+    every = table(spark, d, "conversations").select(F.col("conv_id").alias("test"), F.col("turn").alias("dep"))
+    tests = every.where("test % 9 <> 0")  # the others are binary
     unit_of = tests.select(F.col("dep").alias("node"), F.col("dep").alias("unit")).distinct()
     recorded = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("node")).distinct()
-    claimed = spark.range(0).select(F.col("id").alias("test"))
+    claimed = every.where("test % 4 = 0").select("test").distinct()
     return planning.tests_enabled(unit_of.select("unit").distinct(), tests, unit_of, recorded, claimed).select("test", "unit")
 
 
@@ -392,46 +393,77 @@ def added_docs(spark, d):
     return change.changed(*_snapshots(spark, d), added_only=True)
 
 
-def _doc_entries(spark, d, side: str = "old"):
-    """A ledger over documents: each records its own content at the base and, as a test, that of the next document."""
+def _doc_entries(spark, d):
+    """A ledger over documents: each records its own content at the base and, as a test, that of the next document of its
+    source. Every eleventh recorded another content than the base has."""
     docs = _docs(spark, d).where("source <> 'src5'")
+    after = Window.partitionBy("source").orderBy("doc_id", "path")
+    docs = docs.withColumn("blob", paths.blob_id(F.col("old"))).withColumn("test", F.lead("path").over(after)).withColumn("tblob", F.lead("blob").over(after))
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     x = docs.join(labels, "doc_id")
     status = F.when(F.col("toxic") == 1, "skipped").when(F.col("quality") == 1, "ported").otherwise("in_progress")
-    blob = paths.blob_id(F.col(side))
-    return x.select(F.col("path").alias("ts"), status.alias("status"), F.when(F.col("quality") == 1, F.concat(F.lit("t/"), F.col("path"))).alias("rust"), F.lit("base").alias("ts_base"), F.create_map("path", blob).alias("ts_blobs"), F.array("path").alias("tests"), F.array().cast("array<string>").alias("test_provenance"))
+    own = F.when(F.col("doc_id") % 11 == 0, paths.blob_id(F.concat("old", F.lit("x")))).otherwise(F.col("blob"))
+    pairs = F.when(F.col("test").isNull(), F.array(F.struct(F.col("path").alias("k"), own.alias("v")))).otherwise(F.array(F.struct(F.col("path").alias("k"), own.alias("v")), F.struct(F.col("test").alias("k"), F.col("tblob").alias("v"))))
+    symbols = F.create_map(F.lit("f"), F.lit("m::f"), F.lit("g"), F.lit("-"), F.lit("h"), F.concat(F.lit("n::h"), F.col("doc_id").cast("string")))
+    return x.select(F.col("path").alias("ts"), "doc_id", "lang", status.alias("status"), F.when(F.col("quality") == 1, F.concat(F.lit("t/"), F.col("path"))).alias("rust"), F.concat(F.lit("m"), (F.col("doc_id") % 10).cast("string")).alias("module"),
+        F.when(F.col("doc_id") % 13 != 0, "a base of sixteen").alias("ts_base"), F.map_from_entries(pairs).alias("ts_blobs"), symbols.alias("symbols"), F.array_compact(F.array("test")).alias("tests"), F.array().cast("array<string>").alias("test_provenance"))
 
 
-DOC_ENTRIES = f"""{SNAPSHOTS}, lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-doc_entries AS (SELECT path AS ts, CASE WHEN toxic = 1 THEN 'skipped' WHEN quality = 1 THEN 'ported' ELSE 'in_progress' END AS status,
-  CASE WHEN quality = 1 THEN 't/' || path END AS rust, {BLOB.format('old')} AS blob FROM docs JOIN lab USING (doc_id) WHERE source <> 'src5'),
-tracked AS (SELECT * FROM doc_entries WHERE status IN ('ported', 'verified') OR (status = 'in_progress' AND rust IS NOT NULL))"""
+def _doc_edges(spark, d):
+    """Each document depends on the next one, whatever its source."""
+    docs = _docs(spark, d).where("source <> 'src5'")
+    return docs.select(F.col("path").alias("src"), F.lead("path").over(Window.orderBy("doc_id", "path")).alias("dst")).where("dst is not null")  # paths only
+
 
+def _after(mine):
+    """The ledger at the head: what is German was dropped, what is English is worked on again."""
+    return mine.where("lang <> 'de'").withColumn("status", F.when(F.col("lang") == "en", "in_progress").otherwise(F.col("status"))).withColumn("rust", F.when(F.col("lang") != "en", F.col("rust")))
 
-@query(f"WITH {DOC_ENTRIES} SELECT ts, ts AS paths FROM tracked LEFT JOIN head ON path = ts WHERE tracked.blob IS DISTINCT FROM head.blob")
+
+DOC_ENTRIES = f"""{SNAPSHOTS}, lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+tested AS (SELECT *, {BLOB.format('old')} AS b, lead(path) OVER w AS test, lead({BLOB.format('old')}) OVER w AS tblob FROM docs WHERE source <> 'src5' WINDOW w AS (PARTITION BY source ORDER BY doc_id, path)),
+doc_entries AS (SELECT path AS ts, doc_id, lang, CASE WHEN toxic = 1 THEN 'skipped' WHEN quality = 1 THEN 'ported' ELSE 'in_progress' END AS status, CASE WHEN quality = 1 THEN 't/' || path END AS rust, 'm' || (doc_id % 10) AS module,
+  CASE WHEN doc_id % 13 <> 0 THEN 'a base of sixteen' END AS ts_base, CASE WHEN doc_id % 11 = 0 THEN {BLOB.format("(old || 'x')")} ELSE b END AS blob, test, tblob FROM tested JOIN lab USING (doc_id)),
+after AS (SELECT * REPLACE (CASE WHEN lang = 'en' THEN 'in_progress' ELSE status END AS status, CASE WHEN lang <> 'en' THEN rust END AS rust) FROM doc_entries WHERE lang <> 'de'),
+doc_edges AS (SELECT * FROM (SELECT path AS src, lead(path) OVER (ORDER BY doc_id, path) AS dst FROM docs WHERE source <> 'src5') WHERE dst IS NOT NULL)"""
+DOC_STALE = """{name} AS (SELECT e.*, list_sort(list_filter([CASE WHEN e.blob IS DISTINCT FROM s.blob THEN e.ts END, CASE WHEN e.test IS NOT NULL AND e.tblob IS DISTINCT FROM k.blob THEN e.test END], lambda x: x IS NOT NULL)) AS paths
+  FROM {entries} e LEFT JOIN {at} s ON s.path = e.ts LEFT JOIN {at} k ON k.path = e.test WHERE ts_base IS NOT NULL AND len(paths) > 0)"""
+TRACKED = "(status IN ('ported', 'verified') OR (status = 'in_progress' AND rust IS NOT NULL))"
+BASE_STALE = DOC_STALE.format(name="base_stale", entries="doc_entries", at="base")
+HEAD_STALE = DOC_STALE.format(name="head_stale", entries="doc_entries", at="head")
+AFTER_STALE = DOC_STALE.format(name="after_stale", entries="after", at="head")
+BAD = """SELECT src AS ts, dst AS dep FROM doc_edges JOIN {e} a ON a.ts = src AND a.status IN ('ported', 'verified') WHERE dst NOT IN (SELECT ts FROM {e} WHERE status <> 'in_progress')"""
+LOST = f"""fresh AS (SELECT * FROM doc_entries WHERE status IN ('ported', 'verified') AND ts NOT IN (SELECT ts FROM base_stale WHERE {TRACKED}) AND ts IN (SELECT path FROM head)),
+lost AS (SELECT f.ts, CASE WHEN a.ts IS NULL THEN 'removed' ELSE 'now ' || a.status END AS reason FROM fresh f LEFT JOIN after a ON a.ts = f.ts WHERE a.ts IS NULL OR NOT {TRACKED.replace('status', 'a.status').replace('rust', 'a.rust')})"""
+
+
+@query(f"WITH {DOC_ENTRIES}, {HEAD_STALE} SELECT ts, array_to_string(paths, ',') AS paths FROM head_stale WHERE {TRACKED}")
 def stale_docs(spark, d):
     return change.tracked_stale(_doc_entries(spark, d), _snapshots(spark, d)[1]).withColumn("paths", F.array_join("paths", ","))
 
 
-@query(f"WITH {DOC_ENTRIES} SELECT ts, 'base' AS base, ts AS paths FROM doc_entries e LEFT JOIN head ON path = ts WHERE status <> 'in_progress' AND e.blob IS DISTINCT FROM head.blob")
+@query(f"WITH {DOC_ENTRIES}, {HEAD_STALE} SELECT ts, 'a base of si' AS base, array_to_string(paths, ',') AS paths FROM head_stale WHERE status <> 'in_progress'")
 def drift_report(spark, d):
     return change.drift(_doc_entries(spark, d), _snapshots(spark, d)[1]).withColumn("paths", F.array_join("paths", ","))
 
 
-@query(f"WITH {DOC_ENTRIES} SELECT ts FROM tracked LEFT JOIN head ON path = ts WHERE tracked.blob IS DISTINCT FROM head.blob")
+@query(f"WITH {DOC_ENTRIES} SELECT ts FROM doc_entries WHERE status <> 'in_progress' AND ts_base IS NULL")
+def unstamped_docs(spark, d):
+    return change.unstamped(_doc_entries(spark, d))
+
+
+@query(f"WITH {DOC_ENTRIES}, {BASE_STALE}, {HEAD_STALE} SELECT ts FROM head_stale WHERE {TRACKED} AND ts NOT IN (SELECT ts FROM base_stale WHERE {TRACKED})")
 def newly_stale(spark, d):
     base, head = _snapshots(spark, d)
     mine = _doc_entries(spark, d)
     return change.newly_stale(change.tracked_stale(mine, base), change.tracked_stale(mine, head)).select("ts")
 
 
-@query(f"WITH {DOC_ENTRIES} SELECT ts, CASE WHEN split_part(ts, '/', 2) = 'en' THEN 'now in_progress' ELSE 'removed' END AS reason FROM doc_entries WHERE status = 'ported' AND ts IN (SELECT path FROM head) AND split_part(ts, '/', 2) IN ('en', 'de')")
+@query(f"WITH {DOC_ENTRIES}, {BASE_STALE}, {LOST} SELECT ts, reason FROM lost")
 def lost_entries(spark, d):
     base, head = _snapshots(spark, d)
     mine = _doc_entries(spark, d)
-    lang = F.split("ts", "/")[1]
-    after = mine.where(lang != "de").withColumn("status", F.when(lang == "en", "in_progress").otherwise(F.col("status"))).withColumn("rust", F.when(lang != "en", F.col("rust")))
-    return change.lost_entries(mine, after, change.tracked_stale(mine, base), head)
+    return change.lost_entries(mine, _after(mine), change.tracked_stale(mine, base), head)
 
 
 @query(f"WITH {PART_EDGES}, {ENTRIES} SELECT DISTINCT e.src AS ts, e.dst AS dep FROM part_edges e JOIN entries a ON a.ts = e.src WHERE a.status IN ('ported', 'verified') AND e.dst NOT IN (SELECT ts FROM entries WHERE status <> 'in_progress') AND NOT e.type_only")
@@ -439,13 +471,91 @@ def unported_imports(spark, d):
     return change.unported_imports(entries_of(spark, d), part_value_edges(spark, d))
 
 
-@query(f"""WITH {DOC_ENTRIES} SELECT 'newly stale' AS rule, ts, ts AS detail FROM tracked JOIN head ON path = ts WHERE tracked.blob IS DISTINCT FROM head.blob
-UNION ALL SELECT 'source deleted', ts, ts FROM tracked WHERE ts NOT IN (SELECT path FROM head)""")
+@query(f"""WITH {DOC_ENTRIES}, {BASE_STALE}, {AFTER_STALE}, {LOST}
+SELECT CASE WHEN ts IN (SELECT path FROM head) THEN 'newly stale' ELSE 'source deleted' END AS rule, ts, array_to_string(paths, ', ') AS detail FROM after_stale WHERE {TRACKED} AND ts NOT IN (SELECT ts FROM base_stale WHERE {TRACKED})
+UNION ALL (SELECT 'imports unported', ts, dep FROM ({BAD.format(e='after')} EXCEPT {BAD.format(e='doc_entries')}))
+UNION ALL SELECT 'lost entry', ts, reason FROM lost""")
 def gate_findings(spark, d):
     base, head = _snapshots(spark, d)
+    mine, edges = _doc_entries(spark, d), _doc_edges(spark, d)
+    now = _after(mine)
+    return change.gate(
+        {"entries": mine, "stale": change.tracked_stale(mine, base), "violations": change.unported_imports(mine, edges)},
+        {"entries": now, "stale": change.tracked_stale(now, head), "violations": change.unported_imports(now, edges)}, head)
+
+
+@query(f"""WITH {DOC_ENTRIES}, present AS (SELECT path FROM head UNION SELECT rust FROM doc_entries WHERE rust IS NOT NULL AND doc_id % 3 <> 0),
+links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS name FROM pages), ported AS (SELECT * FROM doc_entries WHERE status IN ('ported', 'verified'))
+SELECT 'imports unported' AS rule, 'error' AS severity, ts AS subject, dep AS detail FROM ({BAD.format(e='doc_entries')})
+UNION ALL SELECT CASE WHEN ts IN (SELECT path FROM present) THEN 'not reachable' ELSE 'source gone' END, CASE WHEN ts IN (SELECT path FROM present) THEN 'warning' ELSE 'error' END, ts, NULL FROM doc_entries WHERE split_part(ts, '/', 1) = 'src2' OR doc_id % 17 = 0
+UNION ALL SELECT 'no base', 'warning', ts, NULL FROM doc_entries WHERE status <> 'in_progress' AND ts_base IS NULL
+UNION ALL SELECT 'no target', 'error', ts, NULL FROM ported WHERE rust IS NULL
+UNION ALL SELECT 'target missing', 'error', ts, rust FROM ported WHERE rust NOT IN (SELECT path FROM present)
+UNION ALL SELECT 'symbol not found', 'error', ts, 'm::f' FROM ported WHERE module IS NOT NULL AND doc_id % 2 = 1 AND starts_with('m::f', module)
+UNION ALL SELECT 'symbol not found', 'error', ts, 'n::h' || doc_id FROM ported WHERE starts_with('n::h' || doc_id, module)
+UNION ALL SELECT 'export unmapped', 'warning', ts, 'k' FROM ported WHERE doc_id % 5 = 0
+UNION ALL SELECT 'test not in graph', 'error', e.ts, e.test FROM doc_entries e JOIN docs t ON t.path = e.test WHERE t.doc_id % 4 = 0
+UNION ALL SELECT 'target collision', 'error', path, sources FROM (SELECT 'u/' || doc_id % 700 AS path, string_agg(path, ', ' ORDER BY path) AS sources FROM docs WHERE lang = 'en' GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'external unmapped', 'warning', name, CAST(count(DISTINCT page_id) AS VARCHAR) FROM links WHERE name NOT IN ('/The', '/Der', '/Les', '/Los', '/And') GROUP BY name
+UNION ALL SELECT 'module not declared', 'error', ts, module FROM ported WHERE module > 'm4'""")
+def check_findings(spark, d):
+    """All rules of the check over documents: see the inputs of check.findings."""
+    mine, docs = _doc_entries(spark, d), _docs(spark, d)
+    head = _snapshots(spark, d)[1].select("path")
+    present = head.unionByName(mine.where("rust is not null and doc_id % 3 <> 0").select(F.col("rust").alias("path"))).distinct()
+    inside = docs.where("source <> 'src2' and doc_id % 17 <> 0").select(F.col("path").alias("rel"))
+    rels = docs.select("doc_id", F.col("path").alias("rel"))
+    exports = rels.select("doc_id", "rel", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind")) for n, k in (("f", "function"), ("k", "const"), ("d", "default"))])).alias("e")).select("rel", "e.*", "doc_id").where("name <> 'k' or doc_id % 5 = 0").drop("doc_id")
+    items = mine.where("doc_id % 2 = 0").select(F.col("rust").alias("path"), F.lit("m::f").alias("item"))
+    targets = docs.where("lang = 'en'").select(F.col("path").alias("source"), F.concat(F.lit("u/"), (F.col("doc_id") % 700).cast("string")).alias("path"))
+    uses = _links(spark, d).select(F.col("page_id").alias("rel"), F.col("target").alias("name"))
+    declared = spark.range(5).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("module"))
+    return check.findings(mine, inside, present, _doc_edges(spark, d), targets, items, exports, docs.where("doc_id % 4 <> 0").select(F.col("path").alias("test")), uses, _package_rules(spark), declared)
+
+
+@query(f"""WITH {DOC_ENTRIES}, args AS (SELECT ts FROM doc_entries WHERE doc_id % 3 = 0), done AS (SELECT ts FROM doc_entries WHERE status <> 'in_progress')
+SELECT src AS rel, dst AS needs FROM doc_edges WHERE src IN (SELECT ts FROM args) AND dst NOT IN (SELECT ts FROM done) AND dst NOT IN (SELECT ts FROM args)""")
+def done_refusals(spark, d):
     mine = _doc_entries(spark, d)
-    none = spark.range(0).select(F.lit("").alias("ts"), F.lit("").alias("dep"))
-    return change.gate({"entries": mine, "stale": change.tracked_stale(mine, base), "violations": none}, {"entries": mine, "stale": change.tracked_stale(mine, head), "violations": none}, head)
+    return ledger.done_refusals(mine.where("doc_id % 3 = 0").select(F.col("ts").alias("rel")), _doc_edges(spark, d), mine)
+
+
+@query(f"""{PLAN}, args AS (SELECT node AS rel, unit FROM unit_of WHERE node % 3 = 0), finished AS (SELECT ts FROM entries WHERE status <> 'in_progress'),
+asked AS (SELECT a.rel, u.node AS needs FROM args a JOIN unit_of u USING (unit) WHERE u.node <> a.rel UNION SELECT a.rel, e.dst FROM args a JOIN value_edges e ON e.src = a.rel)
+SELECT rel, needs FROM asked WHERE needs NOT IN (SELECT ts FROM finished) AND needs NOT IN (SELECT rel FROM args)""")
+def start_refusals(spark, d):
+    unit_of, *_ = _plan_inputs(spark, d)
+    return ledger.start_refusals(unit_of.where("node % 3 = 0").select(F.col("node").alias("rel")), event_value_edges(spark, d), unit_of, event_entries(spark, d))
+
+
+@query(f"""WITH {DOC_ENTRIES}, shown AS (SELECT test, ts AS rel FROM doc_entries WHERE test IS NOT NULL AND doc_id % 3 <> 1)
+SELECT e.ts, CASE WHEN doc_id % 2 = 0 THEN 'verified' ELSE 'in_progress' END AS status, CASE WHEN doc_id % 2 = 0 THEN 'new/' || e.ts ELSE e.rust END AS rust, CASE WHEN doc_id % 2 = 0 THEN 'later' ELSE ts_base END AS ts_base,
+  coalesce(CASE WHEN doc_id % 2 = 0 AND s.rel IS NULL THEN '' ELSE e.test END, '') AS tests, CASE WHEN doc_id % 2 = 0 AND s.rel IS NULL THEN coalesce(e.test, '') ELSE '' END AS provenance
+FROM doc_entries e LEFT JOIN shown s ON s.rel = e.ts WHERE doc_id % 4 IN (0, 1)""")
+def ledger_changes(spark, d):
+    """Half of some entries are recorded as verified, half started again."""
+    mine = _doc_entries(spark, d).withColumn("ported_at", F.lit(None).cast("timestamp")).withColumn("notes", F.lit(None).cast("string"))
+    args = mine.where("doc_id % 4 = 0").select(F.col("ts").alias("rel"))
+    targets = args.select("rel", F.concat(F.lit("new/"), F.col("rel")).alias("rust"), F.lit("m").alias("module"))
+    covers = mine.where("size(tests) > 0 and doc_id % 3 <> 1").select(F.col("tests")[0].alias("test"), F.col("ts").alias("rel"))
+    none = spark.range(0)
+    symbols = none.select(F.lit("").alias("rel"), F.lit("").alias("name"), F.lit("").alias("item"))
+    given = none.select(F.lit("").alias("rel"), F.lit("").alias("test"), F.lit(False).alias("provenance"))
+    done = ledger.done(mine, args, targets, symbols, covers, given, _snapshots(spark, d)[1], "later", F.current_timestamp(), verified=True)
+    begun = ledger.start(mine, mine.where("doc_id % 4 = 1").select(F.col("ts").alias("rel")))
+    return done.unionByName(begun).select("ts", "status", "rust", "ts_base", F.array_join("tests", ",").alias("tests"), F.array_join("test_provenance", ",").alias("provenance"))
+
+
+@query(f"WITH {SNAPSHOTS}, asked AS (SELECT path FROM docs UNION SELECT DISTINCT source FROM docs UNION SELECT DISTINCT source || '/' || lang FROM docs UNION SELECT 'no/' || source FROM docs) SELECT path, CASE WHEN path IN (SELECT path FROM head) THEN 'blob' WHEN path IN (SELECT split_part(path, '/', 1) FROM head) OR path IN (SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM head) THEN 'tree' END AS kind FROM asked")
+def object_kinds(spark, d):
+    docs, head = _docs(spark, d), _snapshots(spark, d)[1].withColumn("rev", F.lit("head"))
+    asked = reduce(DataFrame.unionByName, (docs.select(c.alias("path")) for c in (F.col("path"), F.col("source"), F.concat_ws("/", "source", "lang"), F.concat(F.lit("no/"), F.col("source"))))).distinct()
+    return change.kinds_at(asked.withColumn("rev", F.lit("head")), head).select("path", "kind")
+
+
+@query(f"WITH {SNAPSHOTS} SELECT coalesce(b.path, h.path) AS path FROM base b FULL JOIN head h ON b.path = h.path WHERE b.blob IS DISTINCT FROM h.blob AND starts_with(coalesce(b.path, h.path), 'src1/')")
+def changed_below(spark, d):
+    return change.changed(*_snapshots(spark, d), under="src1")
 
 
 @query("""WITH RECURSIVE commits AS (SELECT p_partkey AS oid, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey - 3 FROM part WHERE p_size > 40 AND p_partkey > 3),
@@ -477,6 +587,89 @@ def owner_longest_prefix(spark, d):
     return resolve.owners(files, one.unionByName(two))
 
 
+WORKSPACE = f"""{IMPORTS.format(key='l_partkey')},
+pk AS (SELECT p_partkey AS k, lower(replace(p_brand, '#', '')) AS b, CAST(split_part(p_brand, '#', 2) AS INTEGER) AS n, p_size % 3 = 2 AS deep, 'src/' || lower(replace(p_brand, '#', '')) || '/src/p' || p_partkey || CASE p_size % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.ts' END AS rel FROM part),
+asked AS (SELECT a.rel, a.b AS ab, a.deep, c.b, c.n, c.k, c.rel AS target, (a.k + c.k) % 6 AS v FROM (SELECT DISTINCT src, dst FROM imports) i JOIN pk a ON a.k = i.src JOIN pk c ON c.k = i.dst),
+specs AS (SELECT *, CASE v WHEN 0 THEN './p' || k WHEN 1 THEN '../../' || b || '/src/p' || k WHEN 2 THEN '@x/' || b || '/p' || k WHEN 3 THEN '@x/' || b || '/lib/p' || k WHEN 4 THEN CASE WHEN k % 2 = 1 THEN 'node:fs' ELSE 'fs/promises' END ELSE CASE WHEN k % 2 = 1 THEN 'lodash/p' || k ELSE 'data/p' || k || '.json' END END AS specifier FROM asked)"""
+
+
+def _workspace(spark, d):
+    """Parts as source files of a package for each brand, and specifiers of all kinds for what they import."""
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    ends = F.when(F.col("p_size") % 3 == 0, ".ts").when(F.col("p_size") % 3 == 1, ".tsx").otherwise("/index.ts")
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("k"), brand.alias("b"), F.split("p_brand", "#")[1].cast("int").alias("n"), F.concat(F.lit("src/"), brand, F.lit("/src/p"), F.col("p_partkey").cast("string"), ends).alias("rel"))
+    brands = files.select("b", "n").distinct()
+    spec = F.when(F.col("n") % 10 == 4, F.concat(F.lit("npm:far-"), F.col("n").cast("string"), F.lit("@1.2"))).when(F.col("n") % 10 == 5, "^1").otherwise("workspace:*")
+    deps = brands.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("@x/"), F.col("b")), spec))).alias("deps"))
+    exports = F.when(F.col("n") % 3 == 0, '{"./lib/*": {"types": {"x": "./no.d.ts"}, "default": "./dist/*.js"}}')
+    packages = brands.select(F.concat(F.lit("@x/"), F.col("b")).alias("name"), F.concat(F.lit("src/"), F.col("b")).alias("dir"), F.lit(None).cast("string").alias("main"), exports.alias("exports")).crossJoin(F.broadcast(deps))  # one row
+    x, y = (files.select(*[F.col(c).alias(f"{p}{c}") for c in files.columns]) for p in "ac")
+    pairs = _imports(spark, d, "l_partkey").select("src", "dst").distinct().join(x, F.col("src") == F.col("ak")).join(y, F.col("dst") == F.col("ck"))
+    k, odd, v = F.col("ck").cast("string"), F.col("ck") % 2 == 1, (F.col("ak") + F.col("ck")) % 6
+    specifier = (
+        F.when(v == 0, F.concat(F.lit("./p"), k))
+        .when(v == 1, F.concat(F.lit("../../"), F.col("cb"), F.lit("/src/p"), k))
+        .when(v == 2, F.concat(F.lit("@x/"), F.col("cb"), F.lit("/p"), k))
+        .when(v == 3, F.concat(F.lit("@x/"), F.col("cb"), F.lit("/lib/p"), k))
+        .when(v == 4, F.when(odd, "node:fs").otherwise("fs/promises"))
+        .otherwise(F.when(odd, F.concat(F.lit("lodash/p"), k)).otherwise(F.concat(F.lit("data/p"), k, F.lit(".json"))))
+    )
+    imports = pairs.select(F.col("arel").alias("rel"), specifier.alias("specifier")).distinct()
+    return files.select("rel"), packages, imports
+
+
+@query(f"""WITH {WORKSPACE} SELECT DISTINCT rel, specifier, CASE WHEN v < 2 THEN CASE WHEN NOT deep AND (v = 1 OR ab = b) THEN 'file' ELSE 'unresolved' END WHEN v > 3 OR n % 10 IN (4, 5) OR b = 'brand11' THEN 'external' WHEN v = 2 OR n % 3 = 0 THEN 'file' ELSE 'unresolved' END AS tag,
+CASE WHEN v < 2 THEN CASE WHEN NOT deep AND (v = 1 OR ab = b) THEN target ELSE specifier END WHEN v = 4 THEN CASE WHEN k % 2 = 1 THEN 'node:fs' ELSE 'node:fs/promises' END WHEN v = 5 THEN CASE WHEN k % 2 = 1 THEN 'lodash' ELSE 'json-asset' END
+  WHEN n % 10 = 4 THEN 'far-' || n WHEN n % 10 = 5 OR b = 'brand11' THEN '@x/' || b WHEN v = 2 OR n % 3 = 0 THEN target ELSE specifier END AS value FROM specs""")
+def resolve_imports(spark, d):
+    files, packages, imports = _workspace(spark, d)
+    return resolve.resolve(resolve.owners(files, packages).join(imports, "rel"), files, packages, ["@x/brand11"]).select("rel", "specifier", "tag", "value")
+
+
+@query(f"WITH {WORKSPACE} SELECT DISTINCT rel, specifier, CASE WHEN v IN (2, 3) AND n % 10 <> 4 THEN '@x/' || b END AS local FROM specs WHERE v > 1")
+def local_packages(spark, d):
+    files, packages, imports = _workspace(spark, d)
+    asked = resolve.owners(files, packages).join(imports, "rel").where("specifier not like '.%'")
+    return resolve.local_package(asked, packages).select("rel", "specifier", "local")
+
+
+@query(f"WITH {WORKSPACE}, linked AS (SELECT rel, CASE WHEN n % 10 NOT IN (4, 5) AND b <> 'brand11' AND (v = 2 OR (v = 3 AND n % 3 = 0)) OR (v < 2 AND NOT deep AND (v = 1 OR ab = b)) THEN target END AS target FROM specs) SELECT target AS file, count(DISTINCT rel) AS importers FROM linked WHERE target IS NOT NULL GROUP BY target")
+def importer_counts(spark, d):
+    x = resolve_imports(spark, d).where("tag = 'file'")
+    return x.groupBy(F.col("value").alias("file")).agg(F.count_distinct("rel").alias("importers"))
+
+
+@query("""WITH f AS (SELECT p_partkey, 'src/' || lower(split_part(p_brand, '#', 1)) || '/src/' || replace(p_name, ' ', '/') || CASE WHEN p_size % 4 = 0 THEN '/index.ts' WHEN p_size % 4 = 1 THEN '.tsx' ELSE '.ts' END AS rel, p_size % 2 = 0 AS main FROM part),
+g AS (SELECT *, CASE WHEN main THEN '' ELSE 'kit/' END || regexp_replace(regexp_replace(rel, '^src/brand/src/', ''), '(/index)?[.]tsx?$', '') AS stem, ends_with(rel, '/index.ts') AS dir FROM f)
+SELECT p_partkey, rel, stem || CASE WHEN dir THEN '/mod.rs' ELSE '.rs' END AS target, replace(stem, '/', '::') AS module FROM g""")
+def target_files(spark, d):
+    part = table(spark, d, "part")
+    end = F.when(F.col("p_size") % 4 == 0, "/index.ts").when(F.col("p_size") % 4 == 1, ".tsx").otherwise(".ts")
+    x = part.select("p_partkey", F.concat(F.lit("src/"), F.lower(F.split("p_brand", "#")[0]), F.lit("/src/"), F.replace("p_name", F.lit(" "), F.lit("/")), end).alias("rel"), (F.col("p_size") % 2 == 0).alias("main"))
+    x = x.withColumn("target", paths.target_file(F.col("rel"), F.lit("src/brand"), F.lit("kit"), F.col("main")))
+    return x.select("p_partkey", "rel", "target", paths.module_of(F.col("target")).alias("module"))
+
+
+@query("SELECT doc_id, path FROM (SELECT doc_id, source || '/' || lang || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.test.ts' WHEN doc_id % 3 = 1 THEN '.d.ts' ELSE '.tsx' END AS path FROM documents) WHERE doc_id % 3 = 2 AND NOT regexp_matches(path, '^src[12]/') AND NOT regexp_matches(path, '^[^/]*/de/.*')")
+def in_scope_files(spark, d):
+    from ravelin.operators import predicates as p
+
+    end = F.when(F.col("doc_id") % 3 == 0, ".test.ts").when(F.col("doc_id") % 3 == 1, ".d.ts").otherwise(".tsx")
+    x = table(spark, d, "documents").select("doc_id", F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), end).alias("path"))
+    at = F.col("path")
+    return x.where(p.is_source(at, ["ts", "tsx"]) & ~p.has_marker(at, ["/tests/", ".test."]) & ~p.excluded(at, ["src{1,2}/**", "*/de/**"]))
+
+
+@query("""WITH feet AS (SELECT o_orderkey AS batch, 'c' || o_custkey AS path, 'registers' AS kind FROM orders WHERE o_orderstatus = 'P' UNION SELECT l_orderkey, 'p' || l_partkey, 'writes' FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'P' WHERE l_linenumber = 1 UNION SELECT o_orderkey, 'c' || o_custkey, 'writes' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0)
+SELECT DISTINCT least(x.batch, y.batch) AS a, greatest(x.batch, y.batch) AS b FROM feet x JOIN feet y ON x.path = y.path AND x.batch <> y.batch WHERE x.kind = 'writes'""")
+def batch_conflicts(spark, d):
+    orders = table(spark, d, "orders").where("o_orderstatus = 'P'")
+    c = F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("path")
+    first = table(spark, d, "lineitem").where("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    feet = orders.select(F.col("o_orderkey").alias("batch"), c, F.lit("registers").alias("kind")).unionByName(first.select(F.col("l_orderkey").alias("batch"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.lit("writes").alias("kind"))).unionByName(orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("batch"), c, F.lit("writes").alias("kind")))
+    return planning.conflicts(feet.distinct())
+
+
 LINKS = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages"
 
 
@@ -545,14 +738,16 @@ def snake_names(spark, d):
     return table(spark, d, "part").select("p_partkey", names.snake(F.concat("p_brand", F.lit("-"), F.replace("p_name", F.lit(" "), F.lit("")))).alias("snake"))
 
 
-@query(r"SELECT doc_id, lang || '/x' AS norm, source || '/' || lang AS joined FROM documents")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(odd, '//+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '[^/]+/\.\./', '', 'g'), '(^|/)(\./)+', '\1', 'g'), '^/', '') AS norm, regexp_replace(base || '/' || up, '[^/]+/\.\./', '') AS joined
+FROM (SELECT doc_id, './' || source || '/..//' || lang || '/./y/../x' AS odd, source || '/a' AS base, '../' || lang AS up FROM documents)""")
 def path_norm(spark, d):
     docs = table(spark, d, "documents")
     odd = F.concat(F.lit("./"), F.col("source"), F.lit("/..//"), F.col("lang"), F.lit("/./y/../x"))
     return docs.select("doc_id", paths.normal(odd).alias("norm"), paths.join(F.concat(F.col("source"), F.lit("/a")), F.concat(F.lit("../"), F.col("lang"))).alias("joined"))
 
 
-@query(r"""SELECT page_id, '@' || split_part(url, '/', 3) || '/' || page_id AS name, CASE WHEN page_id > 10 THEN 'sub/x' END AS sub, '@' || split_part(url, '/', 3) || '/' || page_id AS alias FROM pages""")
+@query(r"""SELECT page_id, regexp_extract(spec, '^(@[^/]+/[^/]+|[^@/][^/]*)', 1) AS name, nullif(regexp_extract(spec, '^(?:@[^/]+/[^/]+|[^@/][^/]*)/(.*)$', 1), '') AS sub, regexp_replace(regexp_replace(alias, '^npm:', ''), '(.)@[^@]*$', '\1') AS alias
+FROM (SELECT page_id, base || CASE WHEN page_id > 10 THEN '/sub/x' ELSE '' END AS spec, 'npm:' || base || '@^1.2' AS alias FROM (SELECT page_id, '@' || split_part(url, '/', 3) || '/' || page_id AS base FROM pages))""")
 def split_specifiers(spark, d):
     base = F.concat(F.lit("@"), F.split("url", "/")[2], F.lit("/"), F.col("page_id").cast("string"))
     spec = F.when(F.col("page_id") > 10, F.concat(base, F.lit("/sub/x"))).otherwise(base)
