@@ -23,6 +23,7 @@ COSINE, BLOCK_DIMS, TILE = 0.98, 16, 1024
 ROWS_PER_PIVOT, LEAST_PIVOTS = 2_048, 4  # rows of the largest label
 MAX_PIVOTS = 65_536  # what the driver holds and sends, 16 MB for 64 dimensions; beyond 134 million rows of one label cells grow
 CELLS_AT_ONCE = 4_000_000  # distances of rows to pivots
+SMALL_LOT = 64
 SLACK, HALF = 1e-9, 2.0**-10  # HALF: how far rounding to half precision may move a coordinate, as a part of the largest
 
 
@@ -149,7 +150,7 @@ def _tile(cosine: float):
 
 def _verify(cosine: float):
     def run(rows):
-        """Of two tiles of a lot: (a, null, n), the linked vectors of class a in the other; and links that connect them."""
+        """Of two tiles of a lot, or of many small lots: (a, null, n), the linked vectors of class a in the other; and links that connect them."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -162,7 +163,7 @@ def _verify(cosine: float):
             vx, hx = matrix(first.column("embedding")).astype(np.float64), matrix(second.column("embedding")).astype(np.float64)
             vid, hid = first.column("rep").to_numpy(), second.column("rep").to_numpy()
             near = unit(vx) @ unit(hx).T
-            mask = (near >= cosine - SLACK) & (vid[:, None] != hid)
+            mask = (near >= cosine - SLACK) & (vid[:, None] != hid) & (first.column("lot").to_numpy()[:, None] == second.column("lot").to_numpy())
             for i, j in np.argwhere(mask & (np.abs(near - cosine) <= SLACK)).tolist():  # decided by the measure itself
                 mask[i, j] = (vx[i] * hx[j]).sum() / (np.sqrt((vx[i] * vx[i]).sum()) * np.sqrt((hx[j] * hx[j]).sum())) >= cosine
             for ids, counts in ((vid, mask @ second.column("size").to_numpy()), (hid, mask.T @ first.column("size").to_numpy()))[: 1 if same else 2]:
@@ -204,12 +205,17 @@ def candidate_links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
 def near_pairs(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Of classes (rep, size, label, dims, embedding), rows of two kinds: (a, null, n), the linked vectors outside class
     a, in parts to be summed; and (a, b, null), links that connect the components."""
-    lots = components(candidate_links(classes, cosine), "a", "b")
+    lots = stash(components(candidate_links(classes, cosine), "a", "b"), "lots")
+    sizes = lots.groupBy(F.col("component").alias("l")).agg(F.count(F.lit(1)).alias("k"))
+    few = sizes.where(F.col("k") <= SMALL_LOT).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n")).first()["n"]
+    # small lots share groups, in which they are told apart by their number
+    shared = F.when(F.col("k") <= SMALL_LOT, F.pmod(F.xxhash64("l"), F.lit(1 + few * 2 // TILE)))
+    tiles = sizes.select("l", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"), shared.alias("shared"))
     members = lots.join(classes.select("rep", "size", "embedding"), F.col("node") == F.col("rep")).select(F.col("component").alias("lot"), "rep", "size", "embedding")
-    tiles = lots.groupBy(F.col("component").alias("l")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     cut = members.join(tiles, F.col("lot") == F.col("l")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    tiled = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("lot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "size", "embedding")
-    return tiled.groupBy("lot", "i", "j").applyInArrow(_verify(cosine), "a long, b long, n long")
+    tiled = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select(F.coalesce("shared", F.lit(-1)).alias("shared"), F.when(F.col("shared").isNull(), F.col("lot")).otherwise(0).alias("alone"), "lot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.size("embedding").alias("dims"), "own", "rep", "size", "embedding")
+    return tiled.groupBy("dims", "shared", "alone", "i", "j").applyInArrow(_verify(cosine), "a long, b long, n long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
