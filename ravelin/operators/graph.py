@@ -81,8 +81,49 @@ def _reach(src, dst):
             yield a, b
 
 
+def _from_seeds(src, dst):
+    """src, dst as _reach, only of the seeds, which are the rows without a dst."""
+    after: dict = {}
+    seeds = {a for a, b in zip(src, dst, strict=True) if b is None}
+    for a, b in zip(src, dst, strict=True):
+        if b is not None:
+            after.setdefault(a, []).append(b)
+    for a in seeds:
+        seen, todo = set(), [*after.get(a, ())]
+        while todo:
+            b = todo.pop()
+            if b not in seen:
+                seen.add(b)
+                todo += after.get(b, ())
+        for b in seen:
+            yield a, b
+
+
+def _all_from_seeds(src, dst):
+    """node: what any seed reaches, and the seeds."""
+    after: dict = {}
+    for a, b in zip(src, dst, strict=True):
+        if b is not None:
+            after.setdefault(a, []).append(b)
+    todo = [a for a, b in zip(src, dst, strict=True) if b is None]
+    seen = set(todo)
+    while todo:
+        for b in after.get(todo.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    for b in seen:
+        yield (b,)
+
+
+def _with_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").unionByName(seeds.select(F.col("node").cast(edges.schema["src"].dataType).alias("src"), F.lit(None).cast(edges.schema["dst"].dataType).alias("dst")).distinct())
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node: all nodes that the seeds (column node) reach, themselves included; one join a layer."""
+    if small(both := _with_seeds(edges, seeds)):
+        return _in_one_task(both, _all_from_seeds, f"node {_kind(edges)}")
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"))
     seen = new = settle(seeds.select("node").distinct())
     while not new.isEmpty():
@@ -151,10 +192,22 @@ def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def _units_by_labels(edges: DataFrame) -> DataFrame:
-    """Colours by the smallest node that reaches a node; what reaches back to that node within its colour is its unit."""
+    """Colours by the smallest node that reaches a node; what reaches back to that node within its colour is its unit.
+
+    Nodes without edges in or out are units of their own and go first, as long as that takes many edges away, so that a
+    chain doesn't take a round for each of its links."""
     left = settle(edges.select("src", "dst").distinct())
-    found = None
-    pending = settle(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
+    every = settle(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
+    pending, n = every, left.count()
+    while n:
+        inner = left.where("src <> dst")
+        both = inner.select(F.col("src").alias("node")).distinct().join(inner.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        pending = settle(both)
+        left = settle(left.join(pending.withColumnRenamed("node", "src"), "src", "left_semi").join(pending.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        before, n = n, left.count()
+        if n > 0.9 * before:
+            break
+    found = every.join(pending, "node", "left_anti").select("node", F.col("node").alias("unit"))
     while not pending.isEmpty():
         colour = _spread(left, pending.withColumn("label", F.col("node")))
         inside = left.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
@@ -164,11 +217,11 @@ def _units_by_labels(edges: DataFrame) -> DataFrame:
             hop = back.join(new.select(F.col("node").alias("dst"), "unit"), "dst").where("unit = a").select(F.col("src").alias("node"), "unit").distinct()
             new = settle(hop.join(seen, "node", "left_anti"))
             seen = seen.unionByName(new)
-        found = seen if found is None else found.unionByName(seen)
+        found = found.unionByName(seen)
         gone = seen.select("node")
         pending = settle(pending.join(gone, "node", "left_anti"))
         left = settle(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("unit")).limit(0)
+    return found
 
 
 def unit_edges(edges: DataFrame, unit_of: DataFrame) -> DataFrame:
@@ -215,9 +268,27 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def downstream_counts(edges: DataFrame) -> DataFrame:
-    """node, downstream: how many nodes depend on a node, directly or not, itself not counted."""
-    return closure(edges).where("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("downstream"))
+def reach_pairs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed, node: every node that a seed (column node) reaches by one edge or more. Only pairs of seeds are made."""
+    if small(both := _with_seeds(edges, seeds)):
+        return _in_one_task(both, _from_seeds, f"seed {_kind(edges)}, node {_kind(edges)}")
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"))
+    first = seeds.select("node").distinct().join(step, "node").select(F.col("node").alias("seed"), F.col("to").alias("node"))
+    seen = new = settle(first.distinct())
+    while not new.isEmpty():
+        new = settle(new.join(step, "node").select("seed", F.col("to").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"))
+        seen = seen.unionByName(new)
+    return seen
+
+
+def downstream_counts(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """node, downstream: how many nodes depend on a node, directly or not, itself not counted; of all nodes, or of the nodes
+    `of` (node). Nodes on which none depends have no row."""
+    if of is None:
+        pairs = closure(edges).where("src <> dst").select(F.col("dst").alias("node"))
+    else:
+        pairs = reach_pairs(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), of).where("seed <> node").select(F.col("seed").alias("node"))
+    return pairs.groupBy("node").agg(F.count(F.lit(1)).alias("downstream"))
 
 
 def downstream_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -228,15 +299,15 @@ def downstream_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def merge_bases(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """oid of the best common ancestors of heads (column oid), over commits (oid, parent): those that all heads reach
-    (themselves included) and that no other such commit descends from. A single head is its own base."""
+    (themselves included) and that no other such commit descends from. A single head is its own base. The walk starts at
+    the heads, so commits that none of them reaches cost nothing."""
     step = commits.where("parent is not null").select(F.col("oid").alias("src"), F.col("parent").alias("dst"))
-    reach = closure(step)
-    top = heads.select("oid").distinct()
-    mine = top.select(F.col("oid").alias("head"), "oid").unionByName(reach.join(top, F.col("src") == F.col("oid")).select(F.col("oid").alias("head"), F.col("dst").alias("oid")))
+    top = settle(heads.select("oid").distinct())
+    mine = top.select(F.col("oid").alias("head"), "oid").unionByName(reach_pairs(step, top.withColumnRenamed("oid", "node")).select(F.col("seed").alias("head"), F.col("node").alias("oid"))).distinct()
     n = top.agg(F.count(F.lit(1)).alias("n"))
-    common = mine.groupBy("oid").agg(F.countDistinct("head").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("oid")  # one row
-    below = reach.join(common.withColumnRenamed("oid", "src"), "src").select(F.col("dst").alias("oid"))
-    return common.join(below, "oid", "left_anti")
+    common = settle(mine.groupBy("oid").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("oid"))  # one row
+    above = common.join(step, F.col("oid") == F.col("src")).select(F.col("dst").alias("node"))
+    return common.join(reachable(step, above).withColumnRenamed("node", "oid"), "oid", "left_anti")
 
 
 def catch_up(candidates: DataFrame, edges: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ def rank(units: DataFrame, top: int | None = None) -> DataFrame:
 
 def candidates(progress: DataFrame, value_edges: DataFrame, type_edges: DataFrame, lines: DataFrame, enabled: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """The ready units, ranked, or the first `top` of them. lines (unit, lines); enabled (unit, test)."""
-    ready = ready_units(progress, value_edges)
-    out = pending_types(ready, type_edges, progress).join(unlocks(ready, value_edges, progress), "unit").join(downstream_counts(value_edges).select(F.col("node").alias("unit"), "downstream"), "unit", "left").join(lines, "unit", "left")
+    ready = settle(ready_units(progress, value_edges))
+    out = pending_types(ready, type_edges, progress).join(unlocks(ready, value_edges, progress), "unit").join(downstream_counts(value_edges, ready.select(F.col("unit").alias("node"))).select(F.col("node").alias("unit"), "downstream"), "unit", "left").join(lines, "unit", "left")
     if enabled is not None:
         out = out.join(enabled.groupBy("unit").agg(F.count_distinct("test").alias("tests_enabled")), "unit", "left")
     else:

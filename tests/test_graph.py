@@ -34,3 +34,41 @@ def test_both_branches_equal_brute_force(spark, monkeypatch, local):
     assert sorted(map(tuple, unit_of.collect())) == sorted(unit.items())
     found = graph.levels(spark.createDataFrame(sorted(between), "src long, dst long"), unit_of.select(unit_of["unit"].alias("node")))
     assert sorted(map(tuple, found.collect())) == sorted(level.items())
+    down = {n: sum(1 for a, b in reach if b == n and a != n) for n in nodes}
+    want = sorted((n, k) for n, k in down.items() if k)
+    assert sorted(map(tuple, graph.downstream_counts(edges).collect())) == want
+    of = spark.createDataFrame([(3,), (9,), (6,)], "node long")
+    assert sorted(map(tuple, graph.downstream_counts(edges, of).collect())) == [x for x in want if x[0] in (3, 9, 6)]
+    assert graph.units(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("local", [graph.LOCAL_EDGES, 0])
+def test_random_graphs(spark, monkeypatch, local):
+    import random
+
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    rng = random.Random(4)
+    some = [(rng.randrange(12), rng.randrange(12)) for _ in range(16)] + [(100 + i, 101 + i) for i in range(5)]
+    reach = set(some)
+    while more := {(a, d) for a, b in reach for c, d in some if b == c} - reach:
+        reach |= more
+    nodes = {n for e in some for n in e}
+    unit = {n: min([n, *(m for m in nodes if (n, m) in reach and (m, n) in reach)]) for n in nodes}
+    assert sorted(map(tuple, graph.units(spark.createDataFrame(some, "src long, dst long")).collect())) == sorted(unit.items())
+
+
+def test_merge_bases(spark):
+    """Against the definition: common ancestors that no other one descends from."""
+    import random
+
+    rng = random.Random(7)
+    commits = [(i, p) for i in range(1, 40) for p in {rng.randrange(max(0, i - 6), i), rng.randrange(i)}]
+    up = {}
+    for i in range(40):
+        up[i] = {i}.union(*(up[p] for c, p in commits if c == i))
+    frame = spark.createDataFrame(commits, "oid long, parent long")
+    for heads in ([39], [39, 38], [37, 30, 22], [5, 39]):
+        common = set.intersection(*(up[h] for h in heads))
+        want = {c for c in common if not any(c in up[d] and c != d for d in common)}
+        found = graph.merge_bases(frame, spark.createDataFrame([(h,) for h in heads], "oid long"))
+        assert {r["oid"] for r in found.collect()} == want
