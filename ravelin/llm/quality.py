@@ -15,7 +15,8 @@ from ravelin.llm.common import stash, table, text_slices
 from ravelin.llm.linear import logistic_fit, sigmoid
 
 SAMPLE = 3_000  # labelled texts of each kind, at most; they are used whole
-DICT_PIECES, DICT_CHARS = 4_500, 2_000  # pieces, drawn from all over these texts, that a dictionary is trained on
+DICT_PIECES, DICT_CHARS = 4_500, 2_000  # pieces that a dictionary is trained on,
+TEXT_PIECES = 3  # so many of a text, drawn from all over it: long texts would crowd out the others
 DICT_BYTES, PIECE, LEVEL, THRESHOLD = 65_536, 4_096, 1, 0.3
 
 
@@ -62,14 +63,14 @@ class Compressors:
 
 
 def _pieces(batches):
-    """Each whole text in pieces, with a hash that draws some of them."""
+    """TEXT_PIECES pieces of each text, drawn by a hash; the smallest hashes of all go into a dictionary."""
     import pyarrow as pa
     import xxhash
 
     for batch in batches:
         for doc, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = [text[i : i + DICT_CHARS].encode() for i in range(0, len(text), DICT_CHARS)]
-            at = [xxhash.xxh64_intdigest(f"{doc} {i}") >> 1 for i in range(len(own))]
+            drawn = sorted((xxhash.xxh64_intdigest(f"{doc} {i}") >> 1, i) for i in range(0, len(text), DICT_CHARS))[:TEXT_PIECES]
+            at, own = [h for h, _ in drawn], [text[i : i + DICT_CHARS].encode() for _, i in drawn]
             yield pa.RecordBatch.from_arrays([pa.array([y] * len(own), pa.int32()), pa.array(at, pa.int64()), pa.array(own, pa.binary())], names=["y", "at", "piece"])
 
 
@@ -97,8 +98,7 @@ def _features(good: bytes, bad: bytes):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray]:
-    """Both dictionaries from half of the labelled texts, the calibration from the other half, each text weighted by its
-    kind's share. Texts stay on the executors: the driver gets pieces for the dictionaries, and numbers."""
+    """Both dictionaries from half of the labelled texts, the calibration from the other half. Texts stay on the executors: the driver gets pieces for the dictionaries, and numbers."""
     rows = labelled(docs, labels, "quality", 5, SAMPLE)
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     pieces = rows.where(half).mapInArrow(_pieces, "y int, at long, piece binary")
