@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ravelin.common import settle
 from ravelin.functions import names, paths
 from ravelin.operators import graph, ledger, resolve
-from ravelin.plans import change, check, kinds, planning, reconcile, search
+from ravelin.plans import batch, change, check, kinds, planning, reconcile, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -349,6 +349,49 @@ def catch_up_units(spark, d):
     return _catch_up(value, progress)
 
 
+@query(f"""{RANKED}, members AS (SELECT unit % 97 AS batch, unit FROM ready WHERE unit % 3 <> 0),
+own AS (SELECT m.batch, m.unit, u.node FROM members m JOIN unit_of u USING (unit)),
+near AS (SELECT DISTINCT m.batch, e.src FROM members m JOIN unit_edges e ON e.dst = m.unit JOIN progress p ON p.unit = e.src AND NOT p.done WHERE NOT EXISTS (SELECT 1 FROM members x WHERE x.batch = m.batch AND x.unit = e.src)),
+freed AS (SELECT n.batch, count(*) AS unlocks FROM near n WHERE NOT EXISTS (SELECT 1 FROM unit_edges f JOIN progress g ON g.unit = f.dst AND NOT g.done WHERE f.src = n.src AND f.dst NOT IN (SELECT unit FROM members x WHERE x.batch = n.batch)) GROUP BY n.batch),
+far AS (SELECT batch, count(*) AS downstream FROM (SELECT DISTINCT m.batch, p.src FROM members m JOIN unit_paths p ON p.dst = m.unit) d WHERE NOT EXISTS (SELECT 1 FROM members x WHERE x.batch = d.batch AND x.unit = d.src) GROUP BY batch),
+cover AS (SELECT DISTINCT o.batch, t.test FROM own o JOIN tests t ON t.dep = o.node WHERE NOT EXISTS (SELECT 1 FROM tests x WHERE x.test = t.test AND NOT x.recorded AND x.dep NOT IN (SELECT node FROM own y WHERE y.batch = o.batch)))
+SELECT o.batch, count(DISTINCT o.unit) AS units, count(*) AS files, CAST(sum(f.lines) AS BIGINT) AS lines, coalesce(any_value(unlocks), 0) AS unlocks, coalesce(any_value(downstream), 0) AS downstream, (SELECT count(*) FROM cover c WHERE c.batch = o.batch) AS tests
+FROM own o JOIN files f USING (node) LEFT JOIN freed USING (batch) LEFT JOIN far USING (batch) GROUP BY o.batch""")
+def batch_summaries(spark, d):
+    """Given batches of ready units: their sizes, what they free, and the tests that come with them."""
+    unit_of, value, _, progress = _plan_inputs(spark, d)
+    sizes = event_files(spark, d).groupBy("node").agg((F.count(F.lit(1)) * 10).alias("lines"))
+    lines = unit_of.join(sizes, "node").groupBy("unit").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("files"))
+    members = settle(planning.ready_units(progress, value).where("unit % 3 <> 0").select((F.col("unit") % 97).alias("batch"), "unit"))
+    tests, claimed = event_tests(spark, d)
+    recorded = event_entries(spark, d).where("status <> 'in_progress'").select(F.col("ts").alias("node"))
+    none = spark.range(0).select(F.col("id").alias("rel"), F.col("id").alias("test"))
+    covered = batch.batch_tests(members, unit_of, tests.withColumn("is_binary", F.lit(False)), recorded, claimed, none)
+    return batch.summary(members, lines, value, progress, covered)
+
+
+@query(f"""{PLAN}, wanted AS (SELECT unit, NOT recorded AS added FROM progress WHERE NOT done),
+loose AS (SELECT DISTINCT e.src AS unit FROM unit_edges e WHERE e.dst NOT IN (SELECT unit FROM progress WHERE recorded) AND e.dst NOT IN (SELECT unit FROM wanted)),
+gone AS (SELECT unit FROM wanted WHERE added AND unit IN (SELECT unit FROM loose) UNION SELECT w.unit FROM gone g JOIN unit_edges e ON e.dst = g.unit JOIN wanted w ON w.unit = e.src AND w.added),
+catching AS (SELECT unit FROM wanted WHERE unit NOT IN (SELECT unit FROM gone) AND unit % 5 <> 0), rest AS (SELECT p.*, p.unit IN (SELECT unit FROM ready) AS ready FROM catching c JOIN progress p USING (unit) WHERE NOT done),
+fresh AS (SELECT u.unit FROM unit_of u WHERE u.node % 2 = 0 AND u.node NOT IN (SELECT ts FROM entries WHERE status <> 'in_progress'))
+SELECT (SELECT count(*) FROM entries WHERE value >= 60 AND value < 65) AS stale, (SELECT count(*) FROM fresh WHERE unit IN (SELECT unit FROM catching)) AS new, (SELECT count(*) FROM fresh WHERE unit NOT IN (SELECT unit FROM catching)) AS deferred,
+count(*) AS units, count(*) FILTER (WHERE ready) AS ready, count(*) FILTER (WHERE claimed) AS claimed, count(*) - count(*) FILTER (WHERE ready) - count(*) FILTER (WHERE claimed) AS waiting FROM rest""")
+def catch_up_tallies(spark, d):
+    unit_of, value, _, progress = _plan_inputs(spark, d)
+    entries = event_entries(spark, d)
+    added = unit_of.where("node % 2 = 0").select(F.col("node").alias("rel"))
+    return batch.catch_up_tallies(_catch_up(value, progress).where("unit % 5 <> 0"), progress, value, unit_of, entries.where("value >= 60 and value < 65"), added, entries.where("status <> 'in_progress'").select(F.col("ts").alias("rel")))
+
+
+@query(f"{PLAN} SELECT DISTINCT r.unit FROM ready r JOIN unit_of u USING (unit) WHERE u.node % 8 = 1")
+def ready_in_package(spark, d):
+    """The ready units that have a purchase."""
+    unit_of, value, _, progress = _plan_inputs(spark, d)
+    files = unit_of.select(F.col("node").alias("rel"), (F.col("node") % 8).cast("string").alias("package"))
+    return batch.in_package(planning.ready_units(progress, value), unit_of, files, "1")
+
+
 @query("""WITH tests AS (SELECT conv_id AS test, turn AS dep FROM conversations WHERE conv_id % 9 <> 0 AND conv_id % 4 <> 0), recorded AS (SELECT doc_id AS node FROM labels WHERE quality = 1)
 SELECT DISTINCT t.test, t.dep AS unit FROM tests t WHERE NOT EXISTS (SELECT 1 FROM tests u WHERE u.test = t.test AND u.dep <> t.dep AND u.dep NOT IN (SELECT node FROM recorded))""")
 def test_enablement(spark, d):

@@ -119,6 +119,50 @@ class Config:
             raise ValueError(str(e)) from None
 
 
+def _toplevel(folder: str) -> str | None:
+    """The root of the work tree that a folder lies in."""
+    import subprocess
+
+    try:
+        found = subprocess.run(["git", "rev-parse", "--show-toplevel"], cwd=folder, capture_output=True, text=True)
+    except OSError:
+        return None
+    return found.stdout.strip() if found.returncode == 0 else None
+
+
+def discover(start: str, name: str, config: str | None = None) -> tuple[str, str, Config]:
+    """root, the configuration's path below it, and the configuration: the file that is named, else the nearest `name` in
+    start or above it. The root is that of the work tree, else the file's folder; a file outside the root is an error."""
+    if config is not None:
+        file = os.path.realpath(os.path.join(start, config))
+    else:
+        at = os.path.realpath(start)
+        while not os.path.isfile(os.path.join(at, name)):
+            if os.path.dirname(at) == at:
+                raise FileNotFoundError(f"no {name} in {start} or above")
+            at = os.path.dirname(at)
+        file = os.path.join(at, name)
+    folder = os.path.dirname(file)
+    root = os.path.realpath(_toplevel(folder) or folder)
+    if os.path.commonpath([root, file]) != root:
+        raise ValueError(f"{file} is outside {root}")
+    with open(file, encoding="utf-8") as f:
+        return root, os.path.relpath(file, root).replace(os.sep, "/"), Config.parse(f.read())
+
+
+def normal_argument(root: str, here: str, path: str) -> str:
+    """An argument as a path below root: absolute, relative to root if that exists, else relative to here."""
+    if not os.path.isabs(path):
+        path = os.path.join(root if os.path.exists(os.path.join(root, path)) else here, path)
+    return os.path.relpath(os.path.normpath(path), root).replace(os.sep, "/")
+
+
+def crate_of(module: str, config: Config, library: tuple[str, str] | None = None) -> str:
+    """The folder of the crate that a module belongs to, by its first part. library: (name, folder) of the second crate."""
+    first = module.split("::", 1)[0]
+    return library[1] if library and library[0] == first else config.rust_crate
+
+
 def state_path(config_path: str, state_dir: str) -> str:
     """The state directory, relative to the root: `..` and `.` are applied, and the root itself is `.`"""
     out: list[str] = []
