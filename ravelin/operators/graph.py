@@ -56,9 +56,9 @@ def _kind(edges: DataFrame) -> str:
 
 def closure(edges: DataFrame) -> DataFrame:
     """src, dst: every pair with a path of one edge or more. Each round joins the newest pairs with the edges."""
-    if small(edges):
-        return _in_one_task(edges, _reach, f"src {_kind(edges)}, dst {_kind(edges)}")
     seen = new = settle(edges.select("src", "dst").distinct())
+    if small(new):
+        return _in_one_task(new, _reach, f"src {_kind(edges)}, dst {_kind(edges)}")
     step = new.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
     while not new.isEmpty():
         new = settle(new.join(step, "dst").select("src", F.col("far").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti"))
