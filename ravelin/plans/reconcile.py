@@ -17,6 +17,13 @@ def normalise(text: Column, rules: list[tuple[str, str]], work: Column | None =
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
 
 
+def normalised(observations: DataFrame, files: DataFrame, rules: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Both with the rules applied: to stdout and stderr, to the names of files, to texts, and to where links point."""
+    clean = lambda c: normalise(F.col(c), rules).alias(c)
+    left = files.select("case", "side", clean("path"), "kind", F.when(F.col("kind").isin("text", "symlink"), normalise(F.col("value"), rules)).otherwise(F.col("value")).alias("value"))
+    return observations.select("case", "side", "exit", clean("stdout"), clean("stderr")), left
+
+
 def first_difference(pairs: DataFrame, key: list[str], old: str = "old", new: str = "new") -> DataFrame:
     """key, line, old_line, new_line of the first line (from 1) that differs; a side that has ended is null, and line is
     null if only line ends differ. A carriage return before a line feed is part of the line's end. Equal texts give no row."""

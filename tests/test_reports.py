@@ -1,6 +1,9 @@
 """Reports and briefs as text."""
 
-from ravelin.plans import brief, reports
+import pytest
+
+from ravelin.plans import brief, reconcile, reports
+from ravelin.sources import processes
 
 
 def rows(spark, data, ddl):
@@ -37,3 +40,42 @@ def test_all_sections_of_a_brief(spark):
     for part in ("- `d.ts` -> `d.rs` (`f` is `m::f`)", "### Unresolved imports\n- `./gone`", "### In a cycle with\n- `b.ts`", "### Widgets\n- `List` -> `ui::List`, available", "### Changed since\n```diff\n-x\n+y\n```"):
         assert part in found
     assert "m::g" not in found
+
+
+SPEC = """
+old = ["sh", "-c", 'cat; cat seed; echo "$R $W" > "log-$$"; ln -s /tmp/7 link; exit 3', "x"]
+new = ["sh", "-c", 'cat; cat seed; echo "$R $W" > "log-9"; ln -s /tmp/8 link; exit ${1:-3}']
+timeout_secs = 20
+env = { R = "{root}/r", W = "{work}/w" }
+[[normalize]]
+pattern = "[0-9]+"
+replace = "N"
+[[case]]
+name = "same"
+stdin = "hello 12"
+fixture = "fix"
+[[case]]
+name = "known"
+fixture = "fix"
+args = ["zero", "4"]
+accept = "why"
+"""
+
+
+def test_a_comparison_from_its_file_to_its_report(spark, tmp_path):
+    (tmp_path / "fix").mkdir()
+    (tmp_path / "fix/seed").write_text("seed\n")
+    runs, cases, rules = processes.spec(spark, SPEC, str(tmp_path))
+    seen = processes.observe(runs, root="/the/root").cache()
+    one = seen.where("case = 'same' and side = 'new'").first()
+    assert one["exit"] == "3" and one["stdout"] == "hello 12seed\n" and {f["path"]: f["value"] for f in one["files"]} == {"link": "/tmp/8", "log-9": "/the/root/r <WORK>/w\n", "seed": "seed\n"}
+    found = reconcile.differences(*reconcile.normalised(seen, processes.observed_files(seen), rules)).cache()
+    status = reconcile.statuses(cases, found)
+    assert {r["case"]: r["status"] for r in status.collect()} == {"same": "same", "known": "accepted"}
+    assert reports.comparison(status, found) == "accepted: known\n  exit\nsame: same\n1 accepted, 1 same\n"
+    assert processes.spec(spark, SPEC, str(tmp_path), ["same"])[1].count() == 1
+    for bad in (SPEC.replace('"known"', '"same"'), SPEC.replace('"known"', '".k"'), SPEC.replace("[0-9]+", "["), SPEC + 'more = 1\n', SPEC.replace("new = [", "newer = ["), SPEC.replace('"fix"', '"none"')):
+        with pytest.raises(ValueError):
+            processes.spec(spark, bad, str(tmp_path))
+    with pytest.raises(ValueError):
+        processes.spec(spark, SPEC, str(tmp_path), ["other"])
