@@ -46,6 +46,12 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], fine: Column
     return ranked.join(offsets, keys).withColumn(out, F.col("_rv_before") + F.col("_rv_rn") - 1).drop(*keys, "_rv_before", "_rv_rn")
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """For a side of a join that grows with the input: it is sorted, never sent whole to the driver. Spark plans by the bytes
+    of compressed files, which rows that were exploded, or whose columns repeat, exceed by far."""
+    return df.hint("merge")
+
+
 def give_back() -> None:
     """Returns a worker's freed memory to the system: workers stay, and the next stage may be another one's."""
     import ctypes

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import drop_stash, stash
+from ravelin.llm.common import drop_stash, sorted_join, stash
 
+SENT = 100_000  # edges of a graph whose nodes may be broadcast
 
-def _hang(edges: DataFrame) -> DataFrame:
+
+def _hang(edges: DataFrame, large: bool) -> DataFrame:
     """For each node u (column u) and neighbour v: the smaller of u and its smallest neighbour, as m.
 
     The minimum is combined before the exchange; the join with it has one row a node on one side, so that Spark can
     split a hub with many neighbours.
     """
     low = edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("n"), F.least("u", "low").alias("m"))
-    return edges.join(low, F.col("u") == F.col("n")).select("u", "v", "m")
+    return edges.join(sorted_join(low) if large else low, F.col("u") == F.col("n")).select("u", "v", "m")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -27,10 +29,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if mark["n"] == 0 or (mark["n"], mark["h"]) == seen:
             break
         seen = mark["n"], mark["h"]
+        many = mark["n"] > SENT
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _hang(large).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v").distinct()
+        large = _hang(both, many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _hang(large, many).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v").distinct()
         after = stash(small, "edges")
         drop_stash(now)
         now = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return sorted_join(found) if mark["n"] > SENT else found

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import stash, table, text_slices
+from ravelin.llm.common import sorted_join, stash, table, text_slices
 from ravelin.llm.components import components
 
 SEED, SHINGLE, DISTANCE, BLOCKS, AGREE = 42, 4, 4, 7, 3
@@ -94,9 +94,9 @@ def near_links(classes: DataFrame) -> DataFrame:
     """a, b: links between classes (columns fp, rep) that suffice to connect all within DISTANCE bits of each other."""
     keyed = classes.select("fp", "rep", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks())])).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    shared = stash(keyed.join(sizes, F.col("key") == F.col("k")).drop("k"), "blocks")
+    shared = stash(keyed.join(sorted_join(sizes), F.col("key") == F.col("k")).drop("k"), "blocks")
     few = shared.where(F.col("n") <= SMALL)
-    pairs = few.select("key", "fp", "rep").alias("x").join(few.select("key", "fp", "rep").alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and bit_count(x.fp ^ y.fp) <= {DISTANCE}"))
+    pairs = few.select("key", "fp", "rep").alias("x").join(sorted_join(few.select("key", "fp", "rep")).alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and bit_count(x.fp ^ y.fp) <= {DISTANCE}"))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     tiled = shared.where(F.col("n") > SMALL).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "key"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
