@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import give_back, stash, text_slices
+from ravelin.llm.common import give_back, sorted_join, stash, text_slices
 from ravelin.llm.components import components
 from ravelin.llm.simhash import fingerprint, near_links, shingle_hashes
 from ravelin.llm.tokens import gather
@@ -119,9 +119,9 @@ def _similar(sets: DataFrame, near: DataFrame, texts: DataFrame, shingle: int, t
     th, n, bands; near: further candidates a, b; texts: doc_id, th, text."""
     keyed = sets.select("node", F.explode("bands").alias("band"))
     low = keyed.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("band").alias("own"), "low")
-    pairs = keyed.join(low, F.col("band") == F.col("own")).select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(near)
+    pairs = keyed.join(sorted_join(low), F.col("band") == F.col("own")).select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(near)
     lots = components(pairs, "a", "b").withColumnRenamed("node", "member")
-    members = stash(lots.join(sets, F.col("member") == F.col("node")).select("node", F.col("component").alias("lot"), "n", F.col("doc_id").alias("d"), F.col("th").alias("t")), "lots")
+    members = stash(lots.join(sorted_join(sets), F.col("member") == F.col("node")).select("node", F.col("component").alias("lot"), "n", F.col("doc_id").alias("d"), F.col("th").alias("t")), "lots")
     tiles = members.groupBy(F.col("lot").alias("l")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     dealt = members.join(tiles, F.col("lot") == F.col("l")).select("node", "d", "t", "lot", "tiles")
     one = texts.join(dealt, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t"))).groupBy("node", "lot", "tiles").agg(F.min("text").alias("text"))
@@ -138,7 +138,7 @@ def first_texts(docs: DataFrame, shingle: int = SHINGLE, tenths: int = 8) -> Dat
     classes = marked.groupBy("key", "fp").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     least = lambda c: nodes.groupBy(F.col(c).alias("same")).agg(F.min("node").alias("low"))
-    alike = lambda c: nodes.join(least(c), F.col(c) == F.col("same")).where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    alike = lambda c: nodes.join(sorted_join(least(c)), F.col(c) == F.col("same")).where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     near = near_links(least("fp").select(F.col("same").alias("fp"), F.col("low").alias("rep"))).unionByName(alike("fp"))
     links = _similar(nodes.select("node", "first.*", "n", "bands"), near, texts, shingle, tenths).unionByName(alike("key"))
     named = components(links, "a", "b").withColumnRenamed("node", "m")
@@ -153,5 +153,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rest = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
     named = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_rv_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_rv_th"))
     named = named.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in rest])).alias("_rv_row"))
-    named = named.join(kept, (F.col("_rv_id") == F.col("_rv_d")) & (F.col("_rv_th") == F.col("_rv_t")), "left_semi").select("_rv_row.*")
+    named = named.join(sorted_join(kept), (F.col("_rv_id") == F.col("_rv_d")) & (F.col("_rv_th") == F.col("_rv_t")), "left_semi").select("_rv_row.*")
     return named.unionByName(docs.where("doc_id is null"))
