@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.operators.graph import reach_pairs
+from ravelin.operators.graph import reach_counts
 from ravelin.plans.planning import ready_units
 
 
@@ -50,8 +50,7 @@ def summary(members: DataFrame, lines: DataFrame, value_edges: DataFrame, progre
     near = dep.distinct().join(todo.withColumnRenamed("unit", "src"), "src", "left_semi").join(mine, ["batch", "src"], "left_anti")
     unlocks = near.join(total, "src", "left").join(held, ["batch", "src"], "left").where("coalesce(n, 0) = coalesce(k, 0)").groupBy("batch").agg(F.count(F.lit(1)).alias("unlocks"))
     back = value_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    far = reach_pairs(back, members.select(F.col("unit").alias("node"))).join(members.select(F.col("unit").alias("seed"), "batch"), "seed").select("batch", F.col("node").alias("src")).distinct()
-    downstream = far.join(mine, ["batch", "src"], "left_anti").groupBy("batch").agg(F.count(F.lit(1)).alias("downstream"))
+    downstream = reach_counts(back, members.select(F.col("unit").alias("node"), F.col("batch").alias("label"))).select(F.col("label").alias("batch"), F.col("n").alias("downstream"))
     out = size.join(unlocks, "batch", "left").join(downstream, "batch", "left")
     n = members.select("batch").distinct().withColumn("tests", F.lit(0).cast("long")) if tests is None else tests.groupBy("batch").agg(F.count(F.lit(1)).alias("tests"))
     return out.join(n, "batch", "left").na.fill(0, ["unlocks", "downstream", "tests"]).select("batch", "units", "files", "lines", "unlocks", "downstream", "tests")

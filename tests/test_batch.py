@@ -115,3 +115,53 @@ def test_a_configuration_is_found(tmp_path):
         trees.discover(str(tmp_path / "tool"), "none.toml")
     assert trees.normal_argument("/r", "/r/a", "/r/b/../c.ts") == "c.ts" and trees.normal_argument("/r", "/r/a", "x.ts") == "a/x.ts"
     assert trees.crate_of("ui::x", found, ("ui", "crates/ui")) == "crates/ui" and trees.crate_of("app::x", found, ("ui", "crates/ui")) == "c"
+
+
+def test_first_fit_equals_a_scan_and_grows_with_its_rows():
+    import random
+    import time
+
+    import pandas as pd
+
+    from ravelin.plans.planning import _first_fit
+
+    rng = random.Random(6)
+
+    def frame(n, files, lines):
+        return pd.DataFrame([(i, 1000 + i, rng.randint(1, files), rng.randint(1, lines)) for i in rng.sample(range(n), n)], columns=["rank", "unit", "files", "lines"])
+
+    for n, files, lines in ((60, 8, 130), (200, 3, 40), (1, 9, 9)):
+        pdf, used, want = frame(n, files, lines), set(), []
+        rows = sorted(pdf.itertuples(index=False))
+        for seed in rows:
+            if seed.rank not in used:
+                f = m = 0
+                for x in rows:
+                    if x.rank >= seed.rank and x.rank not in used and (x is seed or (f < 6 and m < 100 and f + x.files <= 6 and m + x.lines <= 100)):
+                        used.add(x.rank)
+                        f, m = f + x.files, m + x.lines
+                        want.append((x.rank, x.unit, seed.rank))
+        assert sorted(_first_fit(6, 100)(pdf).itertuples(index=False, name=None)) == sorted(want)
+    began = time.process_time()
+    assert len(_first_fit(6, 100)(frame(40_000, 5, 1).assign(files=4))) == 40_000  # no two fit: a scan for each would take minutes
+    assert time.process_time() - began < 20
+
+
+def test_wave_makes_no_pairs(spark, monkeypatch):
+    """In rounds and in one task, against a walk in order."""
+    import random
+
+    from ravelin.plans import planning
+
+    rng = random.Random(9)
+    feet = [(b, str(rng.randrange(30)) if rng.random() > 0.05 else None, rng.choice(["writes", "registers", "registers"])) for b in range(1, 40) for _ in range(rng.randrange(1, 4))]
+    taken = []
+    for b in range(1, 42):
+        own = {(p, k) for x, p, k in feet if x == b and p is not None}
+        if not any(p == q and "writes" in (k, m) for t in taken for p, k in t[1] for q, m in own):
+            taken.append((b, own))
+    frame = spark.createDataFrame(feet, "batch long, path string, kind string")
+    monkeypatch.setattr(planning, "conflicts", None)
+    for most in (planning.LOCAL_EDGES, 12):
+        monkeypatch.setattr(planning, "LOCAL_EDGES", most)
+        assert sorted(r["batch"] for r in planning.wave(spark.range(1, 42).withColumnRenamed("id", "batch"), frame).collect()) == [b for b, _ in taken]

@@ -72,3 +72,38 @@ def test_merge_bases(spark):
         want = {c for c in common if not any(c in up[d] and c != d for d in common)}
         found = graph.merge_bases(frame, spark.createDataFrame([(h,) for h in heads], "oid long"))
         assert {r["oid"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("local", [40, 7])
+def test_pieces_are_dealt_to_tasks(spark, monkeypatch, local):
+    """Pieces of up to 10 edges, with those of more than `local` left to joins; against one task, and without rounds of joins
+    where no piece is that large."""
+    import random
+
+    rng = random.Random(8)
+    some = [(100 * p + rng.randrange(6), 100 * p + rng.randrange(6)) for p in range(9) for _ in range(rng.randrange(1, 7))]
+    some += [(900 + i, 901 + i) for i in range(8)] + [(905, 902), (5, 5)]
+    edges = spark.createDataFrame(some, "src long, dst long")
+    chain = spark.createDataFrame([(a, b) for a, b in some if a < b], "src long, dst long")
+    seeds = spark.createDataFrame([(a, a % 5) for a, _ in some[::3]] + [(9999, 1)], "node long, label long")
+    ask = {"units": lambda: graph.units(edges), "levels": lambda: graph.levels(chain), "counts": lambda: graph.reach_counts(edges, seeds)}
+    if local > 10:
+        ask |= {"closure": lambda: graph.closure(edges), "reachable": lambda: graph.reachable(edges, seeds), "pairs": lambda: graph.reach_pairs(edges, seeds), "downstream": lambda: graph.downstream_counts(edges, seeds)}
+    want = {k: sorted(map(tuple, f().collect())) for k, f in ask.items()}
+    monkeypatch.setattr(graph, "DEALT_EDGES", 9)
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    if local > 10:
+        monkeypatch.setattr(graph, "LOCAL_EDGES", min(local, len(some) // 2))
+        for name in ("_closure_by_joins", "_reachable_by_joins", "_units_by_labels", "_levels_by_joins", "_labels_by_joins"):
+            monkeypatch.setattr(graph, name, None)
+    for k, f in ask.items():
+        assert sorted(map(tuple, f().collect())) == want[k], k
+
+
+def test_links_by_joins(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    links = [(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(25)) if a != b] + [(100 + i, 101 + i) for i in range(9)]
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    assert dict(map(tuple, graph._linked(spark.createDataFrame(links, "src long, dst long")).collect())) == graph._roots(*zip(*links, strict=True))
