@@ -12,7 +12,7 @@ def normal(path: Column) -> Column:
     """Without empty and `.` parts, `..` applied; the root is the empty string."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
     kept = F.aggregate(parts, F.lit([]).cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
-    return F.array_join(kept, "/")
+    return F.when(path.rlike(r"(^|/)\.{0,2}(/|$)"), F.array_join(kept, "/")).otherwise(path)  # few are not yet
 
 
 def normal_root(path: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.common import settle
 from ravelin.functions.names import package_of, subpath_of, without_version
 from ravelin.functions.paths import directory, join, normal
 
@@ -17,6 +20,11 @@ CONDITIONS = ("bun", "source", "default", "import", "require", "types")
 SCRIPTS = (".js", ".mjs", ".cjs", ".jsx")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
     """files (rel) with the package of the longest directory above them; null without one. packages (name, dir).
 
@@ -30,13 +38,30 @@ def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
 def source_candidates(target: Column) -> Column:
     """Array of the files that a target may stand for, in order. A compiled target (below dist/) stands for its source, and
     never for itself."""
-    t = F.regexp_replace(target, r"^(\./)+", "")
-    source = F.regexp_replace(t, "^dist/", "src/")
-    stem = F.regexp_replace(source, r"(\.d\.ts|\.js|\.mjs|\.cjs|\.jsx)$", "")
-    typed = F.array(*[F.concat(stem, F.lit(e)) for e in (".ts", ".tsx", "/index.ts", "/index.tsx")])
-    itself = F.when(~t.startswith("dist/") & (stem != t), F.array(t)).otherwise(F.array().cast("array<string>"))
-    scripts = F.array(*[F.concat(stem, F.lit(way + e)) for e in SCRIPTS for way in ("", "/index")])
-    return F.when(stem.rlike(r"\.tsx?$"), F.array(stem)).otherwise(F.array_distinct(F.concat(typed, itself, scripts)))
+    none = F.array().cast("array<string>")
+
+    def of(t: Column, stem: Column) -> Column:
+        typed = F.array(*[F.concat(stem, F.lit(e)) for e in (".ts", ".tsx", "/index.ts", "/index.tsx")])
+        itself = F.when(~t.startswith("dist/") & (stem != t), F.array(t)).otherwise(none)
+        scripts = F.array(*[F.concat(stem, F.lit(way + e)) for e in SCRIPTS for way in ("", "/index")])
+        return F.when(stem.rlike(r"\.tsx?$"), F.array(stem)).otherwise(F.array_distinct(F.concat(typed, itself, scripts)))
+
+    return _once(F.regexp_replace(target, r"^(\./)+", ""), lambda t: _once(_stem(t), lambda stem: of(t, stem)))
+
+
+def _stem(target: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(target, "^dist/", "src/"), r"(\.d\.ts|\.js|\.mjs|\.cjs|\.jsx)$", "")
+
+
+def _base(path: Column) -> Column:
+    """What the candidates of a target have in common: nearly always all of them one base."""
+    return F.regexp_replace(path, r"(/index)*(\.d)?\.(ts|tsx|js|mjs|cjs|jsx)$", "")
+
+
+def source_bases(target: Column) -> Column:
+    """The bases of source_candidates(): those that the stem has with either ending, and that of the target itself."""
+    of = lambda t, stem: F.array_distinct(F.transform(F.array(stem, F.concat(stem, F.lit(".ts")), F.concat(stem, F.lit("/index.ts")), t), _base))
+    return _once(F.regexp_replace(target, r"^(\./)+", ""), lambda t: _once(_stem(t), lambda stem: of(t, stem)))
 
 
 def relative_candidates(rel: Column, spec: Column) -> Column:
@@ -46,10 +71,9 @@ def relative_candidates(rel: Column, spec: Column) -> Column:
 def _condition_targets(entry: Column, star: Column) -> Column:
     """Of one entry of an export map, as JSON: a string itself, or the strings of the known conditions, with the wildcard's
     text filled in. Anything else gives none."""
-    found = F.from_json(entry, "map<string,string>")
     fill = lambda v: F.when(star.isNull(), v).otherwise(F.replace(v, F.lit("*"), F.coalesce(star, F.lit(""))))
     plain = lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]")
-    known = F.filter(F.array(*[found[c] for c in CONDITIONS]), plain)
+    known = _once(F.from_json(entry, "map<string,string>"), lambda found: F.filter(F.array(*[found[c] for c in CONDITIONS]), plain))
     return F.when(entry.rlike(r"^\s*\{"), F.transform(known, fill)).when(plain(entry), F.array(fill(entry))).otherwise(F.array().cast("array<string>"))
 
 
@@ -65,7 +89,7 @@ def export_targets(packages: DataFrame, asked: DataFrame) -> DataFrame:
     exact, wild = F.get(F.filter("_entries", lambda e: e["key"] == F.col("key")), F.lit(0)), F.get(F.filter("_entries", fits), F.lit(0))
     star = F.substr("key", F.length(head(F.col("_wild"))) + 1, F.length("key") - F.length(head(F.col("_wild"))) - F.length(tail(F.col("_wild"))))
     text = F.get(F.from_json(F.concat(F.lit("["), F.col("exports"), F.lit("]")), "array<string>"), F.lit(0))
-    out = asked.join(packages.select(F.col("name").alias("package"), "exports"), "package", "left").withColumn("_entries", entries)
+    out = asked.join(packages.select(F.col("name").alias("package"), "exports", entries.alias("_entries")), "package", "left")
     out = out.withColumn("_exact", exact).withColumn("_wild", wild)
     none = F.array().cast("array<string>")
     targets = (
@@ -90,9 +114,12 @@ def package_candidates(packages: DataFrame, asked: DataFrame) -> DataFrame:
 
 def first_candidate(asked: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
     """key and `file`: of asked (key, candidates) the first candidate that files (rel) has; null if none. The key may have
-    a column rel of its own."""
-    each = asked.select(*key, F.posexplode("candidates").alias("_ord", "_candidate")).join(files.select(F.col("rel").alias("_candidate")).distinct(), "_candidate")
-    best = each.groupBy(*key).agg(F.min_by("_candidate", "_ord").alias("file"))
+    a column rel of its own. Candidates meet the few files of their base, so there is no row for each candidate. asked may
+    have the bases of its candidates, as `bases`."""
+    near = files.select("rel").where("rel is not null").distinct().groupBy(_base(F.col("rel")).alias("_base")).agg(F.collect_list("rel").alias("_rels"))
+    each = asked.select(*key, "candidates", F.explode("bases" if "bases" in asked.columns else F.array_distinct(F.transform("candidates", _base))).alias("_base")).join(near, "_base")
+    found = F.get(F.filter(F.transform("candidates", lambda c, i: F.struct(i.alias("ord"), c.alias("candidate"))), lambda x: F.array_contains("_rels", x["candidate"])), F.lit(0))
+    best = each.select(*key, found.alias("_found")).groupBy(*key).agg(F.min_by("_found.candidate", "_found.ord").alias("file"))
     return asked.select(*key).distinct().join(best, key, "left")
 
 
@@ -124,11 +151,12 @@ def resolve(imports: DataFrame, files: DataFrame, packages: DataFrame, external_
     In this order: JSON assets, relative paths, built-ins, workspace packages (external ones by name), npm packages.
     files (rel): those that count as sources."""
     spec = F.col("specifier")
-    linked = links(imports, packages).withColumn("_sub", F.coalesce(subpath_of(spec), F.lit("")))
-    here = linked.where(spec.startswith(".")).select("rel", "specifier", relative_candidates(F.col("rel"), spec).alias("candidates"))
+    linked = settle(links(imports, packages).withColumn("_sub", F.coalesce(subpath_of(spec), F.lit(""))))  # read three times
+    here = linked.where(spec.startswith(".")).select("rel", "specifier").distinct().withColumn("_at", join(directory(F.col("rel")), spec))
+    here = here.select("rel", "specifier", source_candidates(F.col("_at")).alias("candidates"), source_bases(F.col("_at")).alias("bases"))
     there = linked.where("link_kind = 'workspace'").select(F.col("link").alias("package"), "_sub").distinct()
     there = package_candidates(packages, there.withColumn("sub", F.when(F.col("_sub") != "", F.col("_sub"))))
-    local = first_candidate(here.distinct(), files, ["rel", "specifier"])
+    local = first_candidate(here, files, ["rel", "specifier"])
     inner = first_candidate(there, files, ["package", "_sub"]).select(F.col("package").alias("link"), "_sub", F.col("file").alias("_inner"))
     out = linked.join(local, ["rel", "specifier"], "left").join(inner, ["link", "_sub"], "left")
     builtin = spec.startswith("node:") | spec.isin(BUILTINS)

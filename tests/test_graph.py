@@ -107,3 +107,22 @@ def test_links_by_joins(spark, monkeypatch):
     links = [(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(25)) if a != b] + [(100 + i, 101 + i) for i in range(9)]
     monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
     assert dict(map(tuple, graph._linked(spark.createDataFrame(links, "src long, dst long")).collect())) == graph._roots(*zip(*links, strict=True))
+
+
+def test_candidates_meet_files_by_their_base(spark):
+    """The first candidate in order, for every ending, against a scan; a plan without a row for each candidate."""
+    from pyspark.sql import functions as F
+
+    from ravelin.operators import resolve
+
+    files = ["a/x.ts", "a/x.tsx", "a/x/index.ts", "a/y.d.ts", "a/y/index.tsx", "a/z.d/index.ts", "a/z.js", "a/index/index.ts", "a/w.ts.js", "a/v.json", "a/u", "src/d.ts", "a/x.jsx"]
+    asked = ["a/x", "./a/x.js", "a/y", "a/y.d.ts", "a/z.d", "a/z", "a", "a/index", "a/w.ts.js", "a/v.json", "a/u", "dist/d.js", "a/none", "a/x.tsx"]
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in asked], "t string").select("t", resolve.source_candidates(t).alias("candidates"), resolve.source_bases(t).alias("bases"))
+    frame = spark.createDataFrame([(f,) for f in files], "rel string")
+    want = {r["t"]: next((c for c in r["candidates"] if c in files), None) for r in rows.collect()}
+    assert sum(v is not None for v in want.values()) == 9
+    for some in (rows, rows.drop("bases")):
+        found = resolve.first_candidate(some, frame, ["t"])
+        assert dict(map(tuple, found.collect())) == want
+        assert "posexplode" not in found._jdf.queryExecution().toString()
