@@ -126,3 +126,12 @@ def test_candidates_meet_files_by_their_base(spark):
         found = resolve.first_candidate(some, frame, ["t"])
         assert dict(map(tuple, found.collect())) == want
         assert "posexplode" not in found._jdf.queryExecution().toString()
+
+
+def test_loops_send_no_tables_through_the_driver(spark, monkeypatch):
+    """However small a large piece's state looks, its joins are sorted: the plan of a round has no broadcast."""
+    plans, keep = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
+    graph._units_by_labels(edges)
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
